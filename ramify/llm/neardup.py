@@ -9,7 +9,8 @@ Equal shingle sets are one class before anything is compared. Classes meet in bu
 signature). In each bucket a pivot is compared with all others, links are confirmed on the full
 sets, and only buckets that still hold several components go on with further pivots, until
 none is left. So a bucket of n near copies costs n comparisons, not n squared, and no pair of a
-bucket that could still connect two components is left out.
+bucket that could still connect two components is left out. Before texts are fetched for a pair, the low
+bits of its signatures are compared; pairs far below the threshold end there.
 
 Edge cases: null, empty or blank text has an empty set and links with nothing. Rows with equal
 doc_id count as one document with several texts. A null doc_id never represents a class; such a row
@@ -33,7 +34,10 @@ BANDS, ROWS = 40, 5
 THRESHOLD = 75  # per cent
 UNIVERSE_BITS = 20
 SEED = 20240607
-_CACHE_WORDS = 1 << 20
+_CACHE_WORDS = 1 << 18
+#: A pair's signatures must agree in the low bits of this many coordinates: five standard deviations below what is
+#: expected at the threshold, so that the exact test loses nothing it could confirm.
+LEAST_AGREEING = 151
 _M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -101,6 +105,13 @@ def signature(shingles: np.ndarray, width: int = BANDS * ROWS) -> np.ndarray:
 _BAND_SALT = _odd(BANDS, 307)
 
 
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """The low bit of each coordinate, packed into 64-bit words."""
+    bits = np.zeros(-(-len(sig) // 64) * 64, np.uint8)
+    bits[: len(sig)] = sig & 1
+    return np.packbits(bits).view(np.int64)
+
+
 def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     parts = sig.reshape(bands, rows).astype(np.uint64)
     h = _odd(bands, 307) if bands != BANDS else _BAND_SALT
@@ -109,25 +120,30 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return h.view(np.int64)
 
 
-_SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+_SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in batches:
-        n, keys, bands, at = [], [], [], [0]
+        n, keys, bands, at, sketches = [], [], [], [0], []
         for text in batch.column(1):
             s = shingle_set(text.as_py())
             n.append(len(s))
             keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             if len(s):
-                bands.append(band_keys(signature(s)))
+                sig = signature(s)
+                bands.append(band_keys(sig))
+                sketches.append(sketch(sig))
+            else:
+                sketches.append(np.zeros(-(-BANDS * ROWS // 64), np.int64))
             at.append(at[-1] + (BANDS if len(s) else 0))
         flat = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64))
+        words = np.array(sketches, np.int64).reshape(len(n), -1)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)],
-            ["doc_id", "n_shingles", "set_key", "bands"],
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), *(pa.array(np.ascontiguousarray(w)) for w in words.T)],
+            ["doc_id", "n_shingles", "set_key", "bands", "s0", "s1", "s2", "s3"],
         )
 
 
@@ -161,20 +177,18 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     join are plain exchanges and adaptive execution can split a hub. Rounds are logarithmic.
     """
     edges = scratch.put(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = scratch.put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large")
         large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.put(large, "star")
-        lowest = scratch.put(large.groupBy("u").agg(F.min("v").alias("m")), "small")
-        hooked = large.join(lowest, "u")
+        hooked = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = hooked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hooked.select("u", F.col("m").alias("v")))
         edges = scratch.put(small.where("u <> v").distinct(), "edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        # done when all are stars: nobody has two centres, and no centre has one
+        more = edges.groupBy("u").count().where("count > 1").select("u").unionByName(edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u"))
+        if more.isEmpty():
             break
-        before = state
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return scratch.put(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), "components")
 
@@ -188,42 +202,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = scratch.put(docs.mapInArrow(_sign, _SIGNED), "signed")
     classes = scratch.put(
         signed.where("set_key is not null").groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("bands", "s0", "s1", "s2", "s3"))),
         "classes",
     )
-    members = classes.where("rep is not null").select(F.explode("bands").alias("bucket"), "rep", "n")
+    facts = ("rep", "n", "s0", "s1", "s2", "s3")
+    members = classes.where("rep is not null").select(F.explode("bands").alias("bucket"), *facts)
 
     def active(rows: DataFrame, turn: int, name: str) -> DataFrame:
         """Members of buckets that hold several components, with their bucket's size and a pivot."""
         buckets = rows.groupBy("bucket").agg(
             F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-            F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "comp")).alias("pivot"),
+            F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), *facts, "comp")).alias("pivot"),
         ).where("lo < hi").select("bucket", "size", "pivot")
         return scratch.put(rows.join(buckets, "bucket").select(*rows.columns, "size", "pivot"), name)
 
     rows = active(members.withColumn("comp", F.col("rep")), 0, "buckets")
     wanted = scratch.put(rows.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     texts = scratch.put(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(), "texts")
-    fits = f"100 * least(n, p.n) >= {THRESHOLD} * greatest(n, p.n)"
+    apart = " + ".join(f"bit_count({w} ^ p.{w})" for w in facts[2:])
+    fits = f"100 * least(n, p.n) >= {THRESHOLD} * greatest(n, p.n) and {BANDS * ROWS} - ({apart}) >= {LEAST_AGREEING}"
     turn, width, comps = 0, 1, None
     while True:
         is_pivot = F.col("rep") == F.col("pivot.rep")
         if turn:
             is_pivot = is_pivot | (F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("size")) < width)
         if turn == 0:
-            pairs = rows.select("rep", "n", "comp", F.col("pivot").alias("p")).where("rep <> p.rep")
+            pairs = rows.select(*facts, F.col("pivot").alias("p")).where("rep <> p.rep")
         else:
-            pivots = rows.where(is_pivot).select("bucket", F.struct("rep", "n", "comp").alias("p"))
-            pairs = rows.drop("pivot").join(pivots, "bucket").where("comp <> p.comp")
+            pivots = rows.where(is_pivot).select("bucket", F.struct(*facts, "comp").alias("p"))
+            pairs = rows.drop("pivot", "size").join(pivots, "bucket").where("comp <> p.comp")
         pairs = pairs.where(fits).select(F.least("rep", "p.rep").alias("b"), F.greatest("rep", "p.rep").alias("a")).distinct()
         links = scratch.put(_confirmed(scratch.put(pairs, "pairs"), texts), "links")
         if comps is not None:
             links = links.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))
         comps = components(links, scratch)
-        rest = rows.where(~is_pivot).select("bucket", "rep", "n").join(comps, F.col("rep") == F.col("node"), "left")
-        turn += 1
-        width = width if turn == 1 else width * 4
-        rows = active(rest.select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp")), turn, "buckets")
+        rest = rows.where(~is_pivot).select("bucket", *facts).join(comps, F.col("rep") == F.col("node"), "left")
+        turn, width = turn + 1, width * 8
+        rows = active(rest.select("bucket", *facts, F.coalesce("component", "rep").alias("comp")), turn, "buckets")
         if rows.isEmpty():
             break
     of_class = classes.join(comps, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
