@@ -9,8 +9,11 @@ Equal shingle sets are one class before anything is compared. Classes meet in bu
 signature). In each bucket a pivot is compared with all others, links are confirmed on the full
 sets, and only buckets that still hold several components go on with further pivots, until
 none is left. So a bucket of n near copies costs n comparisons, not n squared, and no pair of a
-bucket that could still connect two components is left out. Before texts are fetched for a pair, the low
-bits of its signatures are compared; pairs far below the threshold end there.
+bucket that could still connect two components is left out.
+
+Two sets share at most what each of them shares with anybody. How many shingles of a set no other
+candidate has is counted once over all candidates; pairs (and whole documents) that can't reach the
+threshold for that reason aren't compared, and a bucket's pivot is the member with the smallest share of such shingles.
 
 Edge cases: null, empty or blank text has an empty set and links with nothing. Rows with equal
 doc_id count as one document with several texts. A null doc_id never represents a class; such a row
@@ -35,10 +38,6 @@ THRESHOLD = 75  # per cent
 UNIVERSE_BITS = 20
 SEED = 20240607
 _CACHE_WORDS = 1 << 18
-#: A pair's signatures must agree in the low bits of this many coordinates: five standard deviations below what is
-#: expected at the threshold, so that the exact test loses nothing it could confirm.
-LEAST_AGREEING = 151
-_M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class _WordHashes(dict):
@@ -105,13 +104,6 @@ def signature(shingles: np.ndarray, width: int = BANDS * ROWS) -> np.ndarray:
 _BAND_SALT = _odd(BANDS, 307)
 
 
-def sketch(sig: np.ndarray) -> np.ndarray:
-    """The low bit of each coordinate, packed into 64-bit words."""
-    bits = np.zeros(-(-len(sig) // 64) * 64, np.uint8)
-    bits[: len(sig)] = sig & 1
-    return np.packbits(bits).view(np.int64)
-
-
 def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     parts = sig.reshape(bands, rows).astype(np.uint64)
     h = _odd(bands, 307) if bands != BANDS else _BAND_SALT
@@ -120,33 +112,38 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return h.view(np.int64)
 
 
-_SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+_SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in batches:
-        n, keys, bands, at, sketches = [], [], [], [0], []
+        n, keys, bands, at = [], [], [], [0]
         for text in batch.column(1):
             s = shingle_set(text.as_py())
             n.append(len(s))
             keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             if len(s):
-                sig = signature(s)
-                bands.append(band_keys(sig))
-                sketches.append(sketch(sig))
-            else:
-                sketches.append(np.zeros(-(-BANDS * ROWS // 64), np.int64))
+                bands.append(band_keys(signature(s)))
             at.append(at[-1] + (BANDS if len(s) else 0))
         flat = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64))
-        words = np.array(sketches, np.int64).reshape(len(n), -1)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat), *(pa.array(np.ascontiguousarray(w)) for w in words.T)],
-            ["doc_id", "n_shingles", "set_key", "bands", "s0", "s1", "s2", "s3"],
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)],
+            ["doc_id", "n_shingles", "set_key", "bands"],
         )
 
 
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, shingle) rows of the texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = [shingle_set(t) for t in part.column(1).to_pylist()]
+            reps = np.repeat(part.column(0).to_numpy(zero_copy_only=False), list(map(len, sets)))
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "shingle"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep the pairs whose full sets reach the threshold. Columns: a, b, text_a, text_b."""
     last, last_set = None, None
@@ -193,6 +190,16 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.put(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), "components")
 
 
+def _facts(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, n, own): the size of each set, and how many of its shingles no other of the texts has."""
+    spelled = texts.select("doc_id", "text").mapInArrow(_spell, "rep long, shingle long")
+    found = spelled.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"), F.count("*").alias("n"))
+    alone = found.where("rep = last").groupBy("rep").agg(F.count("*").alias("own"))
+    # an id with several texts: what one of them has alone says nothing of the others
+    sizes = classes.groupBy("rep").agg(F.max("n").alias("n"), F.count("*").alias("sets")).join(wanted, F.col("rep") == F.col("doc_id"), "left_semi")
+    return sizes.join(alone, "rep", "left").select("rep", "n", F.when(F.col("sets") == 1, F.coalesce("own", F.lit(0))).otherwise(0).alias("own"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (see the module's notes)."""
     spark = docs.sparkSession
@@ -202,43 +209,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = scratch.put(docs.mapInArrow(_sign, _SIGNED), "signed")
     classes = scratch.put(
         signed.where("set_key is not null").groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in ("bands", "s0", "s1", "s2", "s3"))),
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
         "classes",
     )
-    facts = ("rep", "n", "s0", "s1", "s2", "s3")
-    members = classes.where("rep is not null").select(F.explode("bands").alias("bucket"), *facts)
+    members = classes.where("rep is not null").select(F.explode("bands").alias("bucket"), "rep")
+    shared = scratch.put(members.groupBy("bucket").count().where("count > 1").select("bucket"), "shared")
+    rows = scratch.put(members.join(shared, "bucket"), "members")
+    wanted = scratch.put(rows.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    texts = scratch.put(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(), "texts")
+    facts = scratch.put(_facts(texts, classes, wanted), "facts").where(f"100 * (n - own) >= {THRESHOLD} * n")
+    rows = rows.join(facts, "rep").withColumn("comp", F.col("rep"))
 
-    def active(rows: DataFrame, turn: int, name: str) -> DataFrame:
+    def active(rows: DataFrame, turn: int) -> DataFrame:
         """Members of buckets that hold several components, with their bucket's size and a pivot."""
         buckets = rows.groupBy("bucket").agg(
             F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-            F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), *facts, "comp")).alias("pivot"),
+            F.min(F.struct((F.col("own") / F.col("n")).alias("e"), F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "own", "comp")).alias("pivot"),
         ).where("lo < hi").select("bucket", "size", "pivot")
-        return scratch.put(rows.join(buckets, "bucket").select(*rows.columns, "size", "pivot"), name)
+        return scratch.put(rows.join(buckets, "bucket").select("bucket", "rep", "n", "own", "comp", "size", "pivot"), "buckets")
 
-    rows = active(members.withColumn("comp", F.col("rep")), 0, "buckets")
-    wanted = scratch.put(rows.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    texts = scratch.put(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(), "texts")
-    apart = " + ".join(f"bit_count({w} ^ p.{w})" for w in facts[2:])
-    fits = f"100 * least(n, p.n) >= {THRESHOLD} * greatest(n, p.n) and {BANDS * ROWS} - ({apart}) >= {LEAST_AGREEING}"
+    rows = active(rows, 0)
+    # what both hold is at most what the smaller one shares with anybody
+    most = "least(n - own, p.n - p.own)"
+    fits = f"100 * {most} >= {THRESHOLD} * (n + p.n - {most})"
     turn, width, comps = 0, 1, None
     while True:
         is_pivot = F.col("rep") == F.col("pivot.rep")
-        if turn:
-            is_pivot = is_pivot | (F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("size")) < width)
         if turn == 0:
-            pairs = rows.select(*facts, F.col("pivot").alias("p")).where("rep <> p.rep")
+            pairs = rows.select("rep", "n", "own", F.col("pivot").alias("p")).where("rep <> p.rep")
         else:
-            pivots = rows.where(is_pivot).select("bucket", F.struct(*facts, "comp").alias("p"))
+            is_pivot = is_pivot | (F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("size")) < width)
+            pivots = rows.where(is_pivot).select("bucket", F.struct("rep", "n", "own", "comp").alias("p"))
             pairs = rows.drop("pivot", "size").join(pivots, "bucket").where("comp <> p.comp")
         pairs = pairs.where(fits).select(F.least("rep", "p.rep").alias("b"), F.greatest("rep", "p.rep").alias("a")).distinct()
         links = scratch.put(_confirmed(scratch.put(pairs, "pairs"), texts), "links")
         if comps is not None:
             links = links.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))
         comps = components(links, scratch)
-        rest = rows.where(~is_pivot).select("bucket", *facts).join(comps, F.col("rep") == F.col("node"), "left")
+        rest = rows.where(~is_pivot).select("bucket", "rep", "n", "own").join(comps, F.col("rep") == F.col("node"), "left")
         turn, width = turn + 1, width * 8
-        rows = active(rest.select("bucket", *facts, F.coalesce("component", "rep").alias("comp")), turn, "buckets")
+        rows = active(rest.select("bucket", "rep", "n", "own", F.coalesce("component", "rep").alias("comp")), turn)
         if rows.isEmpty():
             break
     of_class = classes.join(comps, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
