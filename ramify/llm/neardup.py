@@ -14,6 +14,8 @@ bucket that could still connect two components is left out.
 Two sets share at most what each of them shares with anybody. How many shingles of a set no other
 candidate has is counted once over all candidates; pairs (and whole documents) that can't reach the
 threshold for that reason aren't compared, and a bucket's pivot is the member with the smallest share of such shingles.
+Documents whose buckets hold several components after the first pivot go on in buckets by their rarest shingles, so that
+near copies just below the threshold, or texts around a common passage, don't meet again because of what they all share.
 
 Edge cases: null, empty or blank text has an empty set and links with nothing. Rows with equal
 doc_id count as one document with several texts. A null doc_id never represents a class; such a row
@@ -27,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ramify.llm.common import Scratch, ids_and_text, ship
@@ -195,9 +197,26 @@ def _facts(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame
     spelled = texts.select("doc_id", "text").mapInArrow(_spell, "rep long, shingle long")
     found = spelled.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"), F.count("*").alias("n"))
     alone = found.where("rep = last").groupBy("rep").agg(F.count("*").alias("own"))
-    # an id with several texts: what one of them has alone says nothing of the others
+    # -1 for an id with several texts: what one of them has alone says nothing of the others
     sizes = classes.groupBy("rep").agg(F.max("n").alias("n"), F.count("*").alias("sets")).join(wanted, F.col("rep") == F.col("doc_id"), "left_semi")
-    return sizes.join(alone, "rep", "left").select("rep", "n", F.when(F.col("sets") == 1, F.coalesce("own", F.lit(0))).otherwise(0).alias("own"))
+    return sizes.join(alone, "rep", "left").select("rep", "n", F.when(F.col("sets") == 1, F.coalesce("own", F.lit(0))).otherwise(-1).alias("own"))
+
+
+def _by_rare_shingles(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents of rows again, in buckets by shingle: (bucket, rep, n, own, comp).
+
+    With shingles in one order for all, rarest first, two sets that reach the threshold have one in
+    common among the first n - ceil(threshold * n) + 1 of each. What thousands share comes last.
+    """
+    facts = scratch.put(rows.select("rep", "n", "own", "comp").distinct(), "residual")
+    ids = facts.select(F.col("rep").alias("doc_id")).distinct()
+    spelled = scratch.put(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_spell, "rep long, shingle long").distinct(), "spelled")
+    often = scratch.put(spelled.groupBy("shingle").count(), "often")
+    order = Window.partitionBy("rep").orderBy("count", "shingle")  # as many rows as one document has shingles
+    ranked = spelled.join(often, "shingle").withColumn("at", F.row_number().over(order)).join(facts, "rep")
+    # an id with several texts has no such prefix; all its shingles count
+    prefix = ranked.where((F.col("own") < 0) | (F.col("at") <= F.col("n") - F.ceil(F.col("n") * THRESHOLD / 100) + 1)).where("count > 1")
+    return scratch.put(prefix.select(F.col("shingle").alias("bucket"), "rep", "n", "own", "comp"), "prefixes")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -248,7 +267,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         comps = components(links, scratch)
         rest = rows.where(~is_pivot).select("bucket", "rep", "n", "own").join(comps, F.col("rep") == F.col("node"), "left")
         turn, width = turn + 1, width * 8
-        rows = active(rest.select("bucket", "rep", "n", "own", F.coalesce("component", "rep").alias("comp")), turn)
+        rest = rest.select("bucket", "rep", "n", "own", F.coalesce("component", "rep").alias("comp"))
+        rows = active(rest, turn)
+        if turn == 1 and not rows.isEmpty():
+            rows = active(_by_rare_shingles(rows, texts, scratch), turn)
         if rows.isEmpty():
             break
     of_class = classes.join(comps, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
