@@ -14,8 +14,8 @@ bucket that could still connect two components is left out.
 Two sets share at most what each of them shares with anybody. How many shingles of a set no other
 candidate has is counted once over all candidates; pairs (and whole documents) that can't reach the
 threshold for that reason aren't compared, and a bucket's pivot is the member with the smallest share of such shingles.
-Documents whose buckets hold several components after the first pivot go on in buckets by their rarest shingles, so that
-near copies just below the threshold, or texts around a common passage, don't meet again because of what they all share.
+After each round the count is made anew for what is left, by component: shingles that
+no other component has. Near copies just below the threshold and texts around a common passage end there.
 
 Edge cases: null, empty or blank text has an empty set and links with nothing. Rows with equal
 doc_id count as one document with several texts. A null doc_id never represents a class; such a row
@@ -29,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ramify.llm.common import Scratch, ids_and_text, ship
@@ -192,6 +192,10 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.put(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), "components")
 
 
+#: Whether a set can reach the threshold with any other.
+_HOPEFUL = f"100 * (n - own) >= {THRESHOLD} * n"
+
+
 def _facts(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rep, n, own): the size of each set, and how many of its shingles no other of the texts has."""
     spelled = texts.select("doc_id", "text").mapInArrow(_spell, "rep long, shingle long")
@@ -202,21 +206,18 @@ def _facts(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame
     return sizes.join(alone, "rep", "left").select("rep", "n", F.when(F.col("sets") == 1, F.coalesce("own", F.lit(0))).otherwise(-1).alias("own"))
 
 
-def _by_rare_shingles(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """The documents of rows again, in buckets by shingle: (bucket, rep, n, own, comp).
+def _owned_by_component(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows with own counted anew: a document's shingles that nobody outside its component has.
 
-    With shingles in one order for all, rarest first, two sets that reach the threshold have one in
-    common among the first n - ceil(threshold * n) + 1 of each. What thousands share comes last.
+    Pairs of two components can't share those. Only the documents of rows are looked at, as only they meet.
     """
-    facts = scratch.put(rows.select("rep", "n", "own", "comp").distinct(), "residual")
-    ids = facts.select(F.col("rep").alias("doc_id")).distinct()
-    spelled = scratch.put(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_spell, "rep long, shingle long").distinct(), "spelled")
-    often = scratch.put(spelled.groupBy("shingle").count(), "often")
-    order = Window.partitionBy("rep").orderBy("count", "shingle")  # as many rows as one document has shingles
-    ranked = spelled.join(often, "shingle").withColumn("at", F.row_number().over(order)).join(facts, "rep")
-    # an id with several texts has no such prefix; all its shingles count
-    prefix = ranked.where((F.col("own") < 0) | (F.col("at") <= F.col("n") - F.ceil(F.col("n") * THRESHOLD / 100) + 1)).where("count > 1")
-    return scratch.put(prefix.select(F.col("shingle").alias("bucket"), "rep", "n", "own", "comp"), "prefixes")
+    ids = scratch.put(rows.select("rep", "comp").distinct(), "residual")
+    spelled = texts.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_spell, "rep long, shingle long")
+    spelled = scratch.put(spelled.join(ids, "rep"), "spelled")
+    held = spelled.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo = hi").select("shingle")
+    owned = scratch.put(spelled.join(scratch.put(held, "held"), "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("owned")), "owned")
+    own = F.when(F.col("own") < 0, F.col("own")).otherwise(F.coalesce("owned", F.lit(0)))
+    return rows.join(owned, "rep", "left").withColumn("own", own).drop("owned").where(_HOPEFUL)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -236,7 +237,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = scratch.put(members.join(shared, "bucket"), "members")
     wanted = scratch.put(rows.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     texts = scratch.put(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(), "texts")
-    facts = scratch.put(_facts(texts, classes, wanted), "facts").where(f"100 * (n - own) >= {THRESHOLD} * n")
+    facts = scratch.put(_facts(texts, classes, wanted), "facts").where(_HOPEFUL)
     rows = rows.join(facts, "rep").withColumn("comp", F.col("rep"))
 
     def active(rows: DataFrame, turn: int) -> DataFrame:
@@ -269,8 +270,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         turn, width = turn + 1, width * 8
         rest = rest.select("bucket", "rep", "n", "own", F.coalesce("component", "rep").alias("comp"))
         rows = active(rest, turn)
-        if turn == 1 and not rows.isEmpty():
-            rows = active(_by_rare_shingles(rows, texts, scratch), turn)
+        if rows.isEmpty():
+            break
+        rows = active(_owned_by_component(rows.drop("size", "pivot"), texts, scratch), turn)
         if rows.isEmpty():
             break
     of_class = classes.join(comps, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
