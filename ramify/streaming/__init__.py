@@ -1,0 +1 @@
+"""All computations here are batch computations over whole graphs; there are no streaming operators."""
