@@ -53,9 +53,11 @@ class SplitGraph:
 
 def _renamed_ends(edges: DataFrame, skewed: DataFrame, level: int, alpha: int) -> DataFrame:
     """Both ends of the edges on this level: the source by the target, then the target by the source as it is now called."""
+    columns = edges.columns
     flag = lambda end: skewed.select(F.col("id").alias(end), F.lit(True).alias("__hot"))
     edges = edges.join(flag("src"), "src", "left").withColumn("src", F.when(F.col("__hot"), child_id(F.col("src"), child_number(F.col("dst"), level, alpha))).otherwise(F.col("src"))).drop("__hot")
-    return edges.join(flag("dst"), "dst", "left").withColumn("dst", F.when(F.col("__hot"), child_id(F.col("dst"), child_number(F.col("src"), level, alpha))).otherwise(F.col("dst"))).drop("__hot")
+    edges = edges.join(flag("dst"), "dst", "left").withColumn("dst", F.when(F.col("__hot"), child_id(F.col("dst"), child_number(F.col("src"), level, alpha))).otherwise(F.col("dst")))
+    return edges.select(*columns)
 
 
 def distinct_degrees(edges: DataFrame, vertices: DataFrame) -> DataFrame:
