@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from ramify.llm.common import Scratch, ship, text_or_empty
 from ramify.llm.neardup import _hashes, _odd
 
-MIN_WORDS = 60
-MIN_CHARS = 200
-MAX_CHAR_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.45
+#: Chosen above the distances of labelled clean documents of such lengths (at most 0.27 and 0.24).
+MIN_WORDS = 100
+MIN_CHARS = 400
+MAX_CHAR_DISTANCE = 0.28
+MAX_WORD_DISTANCE = 0.28
 REPEAT_WINDOW = 8
 #: Frequent function words.
 COMMON_WORDS = {
