@@ -16,16 +16,17 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ramify.llm.common import ids_and_text, ship
+from ramify.llm.common import ids_and_text, ship, slices
 
 LONG = 64
 MATRIX_CELLS = 1 << 20
-_CACHE_PIECES = 400_000
+_CACHE_PIECES = 600_000
 _NONE = np.int64(1 << 40)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,7 +116,7 @@ class BytePairCoder:
             over = best == _NONE
             if over.any():
                 for r, x in zip(row[over], ids[over], strict=True):
-                    done[r] = x[x >= 0]
+                    done[r] = x[x >= 0].astype("<u4")
                 ids, row, ranks, best = ids[~over], row[~over], ranks[~over], best[~over]
                 if not len(ids):
                     break
@@ -148,7 +149,7 @@ class BytePairCoder:
         for i, p in enumerate(pieces):
             whole = self.ranks.get(p)
             if whole is not None:
-                out[i] = np.array([whole], np.int64)
+                out[i] = np.array([whole], "<u4")
             else:
                 buckets.setdefault(max(2, 1 << (len(p) - 1).bit_length()), []).append(i)
         for width, members in buckets.items():
@@ -172,20 +173,20 @@ class BytePairCoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self._chunks(t) for t in texts]
-        new = list({c for chunks in split for c in chunks if c not in self.known})
+        new = set(chain.from_iterable(split)).difference(self.known)
         if len(self.known) + len(new) > _CACHE_PIECES:
             self.known.clear()
-            new = list({c for chunks in split for c in chunks})
-        pieces = [[p.encode() for p in self.pattern.findall(c)] for c in new]
-        distinct = list({p for ps in pieces for p in ps})
-        coded = {p: x.astype("<u4").tobytes() for p, x in zip(distinct, self.encode_pieces(distinct), strict=True)}
-        found = {}
-        for c, ps in zip(new, pieces, strict=True):
-            found[c] = b"".join(map(coded.__getitem__, ps))
-            if len(c) <= 64:
-                self.known[c] = found[c]
-        get = lambda c: self.known.get(c) if c in self.known else found[c]
-        return [b"".join(map(get, chunks)) for chunks in split]
+            new = set(chain.from_iterable(split))
+        chunks = list(new)
+        pieces = [[p.encode() for p in self.pattern.findall(c)] for c in chunks]
+        distinct = list(set(chain.from_iterable(pieces)))
+        coded = {p: x.tobytes() for p, x in zip(distinct, self.encode_pieces(distinct), strict=True)}
+        self.known.update((c, b"".join(map(coded.__getitem__, ps))) for c, ps in zip(chunks, pieces, strict=True))
+        out = [b"".join(map(self.known.__getitem__, cs)) for cs in split]
+        for c in chunks:
+            if len(c) > 64:  # such chunks seldom come again
+                del self.known[c]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -205,8 +206,7 @@ def encode_report(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         own = coder(path)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 1):
                 ids = own.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array((sha(own.decode(x)) for x in ids), pa.string())],

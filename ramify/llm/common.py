@@ -6,7 +6,9 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +70,17 @@ def text_or_empty(name: str = "text") -> Column:
 def ids_and_text(docs: DataFrame) -> DataFrame:
     """The two columns that the operators need; whatever else the table has is left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+
+
+def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in consecutive parts of at most max_bytes of text each, or of one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(total[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(total, before + max_bytes, side="right")))
+        yield batch.slice(at, end - at)
+        at = end

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ramify.llm.common import Scratch, ids_and_text, ship
+from ramify.llm.common import Scratch, ids_and_text, ship, slices
 
 WIDTH = 64
 PREFIX = "media:sha256/"
@@ -174,8 +174,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 1):
                 pages, digests, sizes, media = [], [], [], []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     payload, n = payload_of(text), len(text.encode())

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ramify.llm.common import Scratch, ids_and_text, ship
+from ramify.llm.common import Scratch, ids_and_text, ship, slices
 
 SHINGLE = 5
 BANDS, ROWS = 40, 5
@@ -139,8 +139,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rep, shingle) rows of the texts."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for part in slices(batch, 1, 2_000_000):
             sets = [shingle_set(t) for t in part.column(1).to_pylist()]
             reps = np.repeat(part.column(0).to_numpy(zero_copy_only=False), list(map(len, sets)))
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "shingle"])

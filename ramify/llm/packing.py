@@ -15,19 +15,21 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ramify.llm.common import Scratch, ids_and_text, ship
+from ramify.llm.common import Scratch, ids_and_text, ship, slices
 
 WINDOW = 4096
 END_ID = 2
 BLOCK = 1024
 MAX_BROADCAST_PARTITIONS = 1 << 18  # rows of 24 bytes
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 800_000
+_SIGNS = b'.,;:!?|%*#$&()[]{}/+=@^~"<>\\_-'  # not the apostrophe, which may belong to letters after it
 
 
 def default_vocabulary() -> str:
@@ -52,17 +54,49 @@ def _encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         raise ValueError("ids of more than 16 bits")
     known: dict[bytes, bytes] = {}
     encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def one_by_one(words: list[bytes]) -> None:
+        for w, e in zip(words, encode([x.decode() for x in words], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u2").tobytes()
+
+    def together(words: list[bytes]) -> None:
+        """Words of letters only, many in one call: each ends with the one token that marks a word's end."""
+        runs = [words[at : at + 256] for at in range(0, len(words), 256)]
+        for run, e in zip(runs, encode([b" ".join(r).decode() for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u2")
+            cuts = (np.flatnonzero(ends[ids]) + 1).tolist()
+            if len(cuts) != len(run):  # a letter that isn't one once it is lower-cased
+                one_by_one(run)
+                continue
+            raw = ids.tobytes()
+            known.update((w, raw[2 * a : 2 * b]) for w, a, b in zip(run, [0, *cuts], cuts))  # noqa: B905
+
+    def learn(new: set[bytes]) -> None:
+        letters, tails, others, ended = set(), set(), [], []
+        for w in new:
+            if w.decode().isalpha():
+                letters.add(w)
+            elif (core := w.rstrip(_SIGNS)) and core.decode().isalpha():
+                ended.append((w, core, tail := w[len(core) :]))  # signs after letters are encoded apart from them
+                letters.add(core)
+                tails.add(tail)
+            else:
+                others.append(w)
+        together(list(letters.difference(known)))
+        one_by_one(others + list(tails.difference(known)))
+        known.update((w, known[core] + known[tail]) for w, core, tail in ended)
 
     def run(texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
-        new = list({w for words in split for w in words if w not in known})
+        raw = [t.encode() for t in texts]
+        # lower case for ASCII saves entries; not where a special token's string would come about
+        split = [(x if b"<|" in x else x.lower()).split() for x in raw]
+        new = set(chain.from_iterable(split)).difference(known)
         if len(known) + len(new) > _CACHE_WORDS:
             known.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, encode([x.decode() for x in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u2").tobytes()
+            new = set(chain.from_iterable(split))
+        learn(new)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
     return run
@@ -75,8 +109,7 @@ def _tokenize(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
         part, before, encode = TaskContext.get().partitionId(), 0, _encoder(path)
         tail = np.array([end], "<u2").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
+            for piece in slices(batch, 1):
                 ids = [x + tail for x in encode(piece.column(1).to_pylist())]
                 n = np.array([len(x) // 2 for x in ids], np.int64)
                 start = before + np.cumsum(n) - n

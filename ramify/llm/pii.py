@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ramify.llm.common import ids_and_text, ship
+from ramify.llm.common import ids_and_text, ship, slices
 
 KINDS = ("email", "ip", "card", "phone")
 MASKS = {"email": "<email>", "ip": "<ip>", "card": "<card>", "phone": "<phone>"}
@@ -209,8 +209,7 @@ _SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first in range(0, batch.num_rows, 512):
-            part = batch.slice(first, 512)
+        for part in slices(batch, 1):
             counts: list[list[int]] = [[] for _ in KINDS]
             digests, spans = [], []
             for text in part.column(1).to_pylist():

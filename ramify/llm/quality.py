@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ramify.llm.common import Scratch, ship, text_or_empty
+from ramify.llm.common import Scratch, ship, text_or_empty, slices
 from ramify.llm.neardup import _hashes, _odd
 
 #: Chosen above the distances of labelled clean documents of such lengths (at most 0.27 and 0.24).
@@ -125,8 +125,7 @@ _SCHEMA = "doc_id long, lang string, n_words long, word_chars long, n_symbols lo
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
+        for part in slices(batch, 2):
             rows = [measure(x) for x in part.column(2).to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             arrays = [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(c, pa.list_(pa.int64())) for c in columns[5:]]
