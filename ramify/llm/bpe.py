@@ -26,7 +26,7 @@ from ramify.llm.common import ids_and_text, ship, slices
 
 LONG = 64
 MATRIX_CELLS = 1 << 20
-_CACHE_PIECES = 600_000
+_CACHE_PIECES = 900_000
 _NONE = np.int64(1 << 40)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -206,7 +206,7 @@ def encode_report(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         own = coder(path)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 12_000_000):
                 ids = own.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array((sha(own.decode(x)) for x in ids), pa.string())],

@@ -28,7 +28,7 @@ WINDOW = 4096
 END_ID = 2
 BLOCK = 1024
 MAX_BROADCAST_PARTITIONS = 1 << 18  # rows of 24 bytes
-_CACHE_WORDS = 800_000
+_CACHE_WORDS = 1_200_000
 _SIGNS = b'.,;:!?|%*#$&()[]{}/+=@^~"<>\\_-'  # not the apostrophe, which may belong to letters after it
 
 
@@ -39,8 +39,8 @@ def default_vocabulary() -> str:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Ids of each text as little-endian 16-bit integers, by whitespace-separated words that are kept in a cache.
+def _encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
+    """Ids of each text (UTF-8) as little-endian 16-bit integers, by whitespace-separated words that are kept in a cache.
 
     No token of the vocabulary crosses white space, so the words of a text can be encoded one by one.
     """
@@ -76,7 +76,7 @@ def _encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     def learn(new: set[bytes]) -> None:
         letters, tails, others, ended = set(), set(), [], []
         for w in new:
-            if w.decode().isalpha():
+            if w.isalpha() or w.decode().isalpha():
                 letters.add(w)
             elif (core := w.rstrip(_SIGNS)) and core.decode().isalpha():
                 ended.append((w, core, tail := w[len(core) :]))  # signs after letters are encoded apart from them
@@ -88,8 +88,7 @@ def _encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         one_by_one(others + list(tails.difference(known)))
         known.update((w, known[core] + known[tail]) for w, core, tail in ended)
 
-    def run(texts: list[str]) -> list[bytes]:
-        raw = [t.encode() for t in texts]
+    def run(raw: list[bytes]) -> list[bytes]:
         # lower case for ASCII saves entries; not where a special token's string would come about
         split = [(x if b"<|" in x else x.lower()).split() for x in raw]
         new = set(chain.from_iterable(split)).difference(known)
@@ -109,8 +108,8 @@ def _tokenize(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
         part, before, encode = TaskContext.get().partitionId(), 0, _encoder(path)
         tail = np.array([end], "<u2").tobytes()
         for batch in batches:
-            for piece in slices(batch, 1):
-                ids = [x + tail for x in encode(piece.column(1).to_pylist())]
+            for piece in slices(batch, 1, 12_000_000):
+                ids = [x + tail for x in encode(piece.column(1).cast(pa.binary()).to_pylist())]
                 n = np.array([len(x) // 2 for x in ids], np.int64)
                 start = before + np.cumsum(n) - n
                 before += int(n.sum())
