@@ -174,7 +174,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 1_000_000):
                 pages, digests, sizes, media = [], [], [], []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     payload, n = payload_of(text), len(text.encode())
@@ -210,8 +210,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def media_report(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, what is read back of its payload, its position and caption in the page."""
     scratch = Scratch(docs.sparkSession)
-    stored = scratch.put(encode_media(docs), "media")
+    stored = scratch.put(encode_media(docs), "media", 1000)
     known = stored.where("media is not null").select("digest", "n_bytes", "media").mapInArrow(_describe, _FEATURES)
-    known = scratch.put(known.dropDuplicates(["digest"]), "features")
+    known = scratch.put(known.dropDuplicates(["digest"]), "features", 1000)
     out = resolve(interleave(stored.select("doc_id", "html"), "doc_id"), known, "doc_id")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

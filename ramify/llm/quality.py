@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ramify.llm.common import Scratch, ship, text_or_empty, slices
+from ramify.llm.common import Scratch, ship, slices, text_or_empty
 from ramify.llm.neardup import _hashes, _odd
 
 #: Chosen above the distances of labelled clean documents of such lengths (at most 0.27 and 0.24).

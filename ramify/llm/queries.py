@@ -64,5 +64,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+_SPACE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_LINES = f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, i, lines[i] AS line, {_LOWER.format(f"trim(lines[i], {_SPACE})")} AS key FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+h AS (SELECT key, max(doc_id) AS keep FROM l WHERE length(key) >= {linededup.MIN_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) >= {linededup.MIN_DOCS})
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE keep <> doc_id) AS n_dropped,
+sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE keep IS NULL OR keep = doc_id), '')) AS kept_sha256
+FROM l LEFT JOIN h USING (key) GROUP BY doc_id"""
+
+_NEAR = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^ \\t\\n\\x0b\\f\\r]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {neardup.SHINGLE} THEN [array_to_string(w, ' ')]
+ELSE list_distinct(list_transform(range(1, len(w) - {neardup.SHINGLE} + 2), lambda i: array_to_string(w[i:i + {neardup.SHINGLE - 1}], ' '))) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= {neardup.THRESHOLD} * (a.n + b.n - shared)),
+u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS id, doc_id AS label FROM documents UNION SELECT u.y, r.label FROM r JOIN u ON u.x = r.id)
+SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, min(label) AS component_id, min(label) = id AS kept FROM r LEFT JOIN n ON n.doc_id = id GROUP BY id, n"""
+
+
+def _secrets_sql() -> str:
+    parts = []
+    for rank, rule in enumerate(secrets.RULES):
+        rx = "'" + rule.pattern.replace("'", "''") + "'"
+        parts.append(f"""SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, i,
+coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0) AS start, length(ms[i]) AS n
+FROM (SELECT doc_id, unnest(range(1, len(ms) + 1)) AS i, gaps, ms, gs FROM (SELECT doc_id, string_split_regex(text, {rx}) AS gaps,
+regexp_extract_all(text, {rx}, 0) AS ms, regexp_extract_all(text, {rx}, {rule.group}) AS gs FROM documents WHERE regexp_matches(text, {rx}))) WHERE length(gs[i]) >= {rule.least}""")
+    base = [str(i) for i, r in enumerate(secrets.RULES) if r.base]
+    counts = ", ".join(f"count(*) FILTER (WHERE rank = {i}) AS n_{secrets.RULES[int(i)].kind}" for i in base)
+    one = "string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + n AS BIGINT), ',' ORDER BY start, rank)"
+    return f"""WITH f AS ({" UNION ALL ".join(parts)})
+SELECT d.doc_id, {counts}, sha256(coalesce({one} FILTER (WHERE rank IN ({", ".join(base)})), '')) AS base_sha256, coalesce({one}, '') AS spans
+FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the operators whose results follow from SQL; doc_id is unique and there in the tables."""
+    return {"op2_secrets": _secrets_sql(), "op7_neardup": _NEAR, "op9_linededup": _LINES}
