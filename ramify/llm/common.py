@@ -55,19 +55,17 @@ class Scratch:
         self.count = 0
         atexit.register(_delete, spark, self.path)
 
-    def put(self, df: DataFrame, name: str = "t", rows_per_batch: int | None = None) -> DataFrame:
-        """Write df, return a DataFrame that reads what was written. rows_per_batch: of the Arrow batches meanwhile."""
+    def put(self, df: DataFrame, name: str = "t", rows_per_batch: int = 1000) -> DataFrame:
+        """Write df, return a DataFrame that reads what was written. rows_per_batch: of the Arrow batches meanwhile, which bounds a worker's memory."""
         self.count += 1
         path = f"{self.path}/{self.count:03d}-{name}"
         setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = self.spark.conf.get(setting)
-        if rows_per_batch:
-            self.spark.conf.set(setting, rows_per_batch)
+        self.spark.conf.set(setting, rows_per_batch)
         try:
             df.write.parquet(path)
         finally:
-            if rows_per_batch:
-                self.spark.conf.set(setting, before)
+            self.spark.conf.set(setting, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,7 +28,7 @@ WINDOW = 4096
 END_ID = 2
 BLOCK = 1024
 MAX_BROADCAST_PARTITIONS = 1 << 18  # rows of 24 bytes
-_CACHE_WORDS = 1_200_000
+_CACHE_WORDS = 1_000_000
 _SIGNS = b'.,;:!?|%*#$&()[]{}/+=@^~"<>\\_-'  # not the apostrophe, which may belong to letters after it
 
 
@@ -146,7 +146,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
     ship(spark)
     scratch = Scratch(spark)
     tokens = ids_and_text(docs).mapInArrow(_tokenize(vocabulary or default_vocabulary(), end_id), "doc_id long, ids binary, n long, part long, before long")
-    tokens = scratch.put(tokens, "tokens")
+    tokens = scratch.put(tokens, "tokens", 4000)
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total")).withColumn("block", F.expr(f"part div {BLOCK}"))
     blocks = totals.groupBy("block").agg(F.sum("total").alias("sum"))
     blocks = blocks.select("block", (F.sum("sum").over(Window.orderBy("block")) - F.col("sum")).alias("ahead"))
