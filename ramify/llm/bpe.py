@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ramify.llm.common import ids_and_text, ship, slices
+from ramify.llm.common import ids_and_text, ship, slices, tidy
 
 LONG = 64
 MATRIX_CELLS = 1 << 20
@@ -213,4 +213,7 @@ def encode_report(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return ids_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return tidy(run, coder(path).known)(batches)
+
+    return ids_and_text(docs).mapInArrow(tidied, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

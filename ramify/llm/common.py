@@ -6,7 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,6 +78,19 @@ def ids_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
 
+def tidy(run: Callable[[Iterator], Iterator], *caches: dict) -> Callable[[Iterator], Iterator]:
+    """run, after which the caches are emptied: a worker lives on for other tasks, of whatever query."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            for cache in caches:
+                cache.clear()
+
+    return wrapped
+
+
 def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 6_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in consecutive parts of at most max_bytes of text each, or of one row."""
     import numpy as np

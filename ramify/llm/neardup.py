@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ramify.llm.common import Scratch, ids_and_text, ship, slices
+from ramify.llm.common import Scratch, ids_and_text, ship, slices, tidy
 
 SHINGLE = 5
 BANDS, ROWS = 40, 5
@@ -165,7 +165,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(_confirm, "a long, b long").distinct()
+    return full.mapInArrow(_tidied(_confirm), "a long, b long").distinct()
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -195,9 +195,16 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 _HOPEFUL = f"100 * (n - own) >= {THRESHOLD} * n"
 
 
+def _tidied(run):  # noqa: ANN001, ANN202
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return tidy(run, _hashes)(batches)
+
+    return wrapped
+
+
 def _facts(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rep, n, own): the size of each set, and how many of its shingles no other of the texts has."""
-    spelled = texts.select("doc_id", "text").mapInArrow(_spell, "rep long, shingle long")
+    spelled = texts.select("doc_id", "text").mapInArrow(_tidied(_spell), "rep long, shingle long")
     found = spelled.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"), F.count("*").alias("n"))
     alone = found.where("rep = last").groupBy("rep").agg(F.count("*").alias("own"))
     # -1 for an id with several texts: what one of them has alone says nothing of the others
@@ -211,7 +218,7 @@ def _owned_by_component(rows: DataFrame, texts: DataFrame, scratch: Scratch) ->
     Pairs of two components can't share those. Only the documents of rows are looked at, as only they meet.
     """
     ids = scratch.put(rows.select("rep", "comp").distinct(), "residual")
-    spelled = texts.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_spell, "rep long, shingle long")
+    spelled = texts.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_tidied(_spell), "rep long, shingle long")
     spelled = scratch.put(spelled.join(ids, "rep"), "spelled")
     held = spelled.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo = hi").select("shingle")
     owned = scratch.put(spelled.join(scratch.put(held, "held"), "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("owned")), "owned")
@@ -225,7 +232,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ship(spark)
     scratch = Scratch(spark)
     docs = ids_and_text(docs)
-    signed = scratch.put(docs.mapInArrow(_sign, _SIGNED), "signed")
+    signed = scratch.put(docs.mapInArrow(_tidied(_sign), _SIGNED), "signed")
     classes = scratch.put(
         signed.where("set_key is not null").groupBy("set_key")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ramify.llm.common import Scratch, ids_and_text, ship, slices
+from ramify.llm.common import Scratch, ids_and_text, ship, slices, tidy
 
 WINDOW = 4096
 END_ID = 2
@@ -98,6 +98,7 @@ def _encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
         learn(new)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
+    run.known = known  # type: ignore[attr-defined]
     return run
 
 
@@ -118,7 +119,10 @@ def _tokenize(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
                     ["doc_id", "ids", "n", "part", "before"],
                 )
 
-    return run
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return tidy(run, _encoder(path).known)(batches)
+
+    return tidied
 
 
 def _cut(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

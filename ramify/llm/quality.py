@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ramify.llm.common import Scratch, ship, slices, text_or_empty
+from ramify.llm.common import Scratch, ship, slices, text_or_empty, tidy
 from ramify.llm.neardup import _hashes, _odd
 
 #: Chosen above the distances of labelled clean documents of such lengths (at most 0.27 and 0.24).
@@ -132,6 +132,10 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words"])
 
 
+def _tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return tidy(_measure, _hashes, _bins)(batches)
+
+
 def _distance(own: Column, reference: list[float]) -> Column:
     """Jensen-Shannon distance (base 2) of a histogram of counts and a reference of shares."""
     ref = F.array(*map(F.lit, reference))
@@ -164,7 +168,7 @@ def quality_report(docs: DataFrame) -> DataFrame:
     ship(spark)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text_or_empty().alias("text"))
-    counts = Scratch(spark).put(own.mapInArrow(_measure, _SCHEMA), "counts")
+    counts = Scratch(spark).put(own.mapInArrow(_tidied, _SCHEMA), "counts")
     chars, words = [], []
     for name, (ref_chars, ref_words) in sorted(references(counts).items()):
         k = LANGUAGES.index(name)
