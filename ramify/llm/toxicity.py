@@ -200,7 +200,8 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def toxicity(texts):  # noqa: ANN001, ANN202
         return texts.map(lambda t: score(t, lexicon))
 
-    return docs.where(toxicity(text_or_empty()) < THRESHOLD).select(*names)
+    # written here, so that small Arrow batches hold for it
+    return Scratch(docs.sparkSession).put(docs.where(toxicity(text_or_empty()) < THRESHOLD).select(*names), "not-toxic")
 
 
 def learn_from(spark: SparkSession, sf_dir: str) -> Lexicon:
