@@ -15,7 +15,12 @@ Two sets share at most what each of them shares with anybody. How many shingles
 candidate has is counted once over all candidates; pairs (and whole documents) that can't reach the
 threshold for that reason aren't compared, and a bucket's pivot is the member with the smallest share of such shingles.
 After each round the count is made anew for what is left, by component: shingles that
-no other component has. Near copies just below the threshold and texts around a common passage end there.
+no other component has. Texts around a common passage end there.
+
+Near copies of one text, many of them just below the threshold, end by their differences from a
+common pivot, their home. What two of them share lies inside the home's set, where it is at most what
+the one with less of it has, or outside. So a pair is compared only if what lies inside can suffice, or
+if both have a shingle outside; those pairs come from an index of the shingles outside.
 
 Edge cases: null, empty or blank text has an empty set and links with nothing. Rows with equal
 doc_id count as one document with several texts. A null doc_id never represents a class; such a row
@@ -29,7 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ramify.llm.common import Scratch, ids_and_text, ship, slices, tidy
@@ -145,27 +150,27 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "shingle"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the pairs whose full sets reach the threshold. Columns: a, b, text_a, text_b."""
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How much the full sets share, and whether they reach the threshold. Columns: a, b, text_a, text_b."""
     last, last_set = None, None
     for batch in batches:
-        keep = []
+        shared, linked = [], []
         for i in range(batch.num_rows):
             text_b = batch.column(3)[i].as_py()
             if text_b != last:
                 last, last_set = text_b, shingle_set(text_b)
             mine = shingle_set(batch.column(2)[i].as_py())
             both = len(np.intersect1d(mine, last_set, assume_unique=True))
-            if both and 100 * both >= THRESHOLD * (len(mine) + len(last_set) - both):
-                keep.append(i)
-        yield pa.RecordBatch.from_arrays([c.take(pa.array(keep, pa.int64())) for c in batch.columns[:2]], ["a", "b"])
+            shared.append(both)
+            linked.append(bool(both and 100 * both >= THRESHOLD * (len(mine) + len(last_set) - both)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "both", "linked"])
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(_tidied(_confirm), "a long, b long").distinct()
+    return full.mapInArrow(_tidied(_compare), "a long, b long, both long, linked boolean")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -208,12 +213,18 @@ def _facts(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame
     found = spelled.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"), F.count("*").alias("n"))
     alone = found.where("rep = last").groupBy("rep").agg(F.count("*").alias("own"))
     # -1 for an id with several texts: what one of them has alone says nothing of the others
-    sizes = classes.groupBy("rep").agg(F.max("n").alias("n"), F.count("*").alias("sets")).join(wanted, F.col("rep") == F.col("doc_id"), "left_semi")
+    sizes = classes.groupBy("rep").agg(F.max("n").alias("n")).join(wanted, F.col("rep") == F.col("doc_id"), "left_semi")
+    sizes = sizes.join(texts.groupBy(F.col("doc_id").alias("rep")).agg(F.count("*").alias("sets")), "rep")
     return sizes.join(alone, "rep", "left").select("rep", "n", F.when(F.col("sets") == 1, F.coalesce("own", F.lit(0))).otherwise(-1).alias("own"))
 
 
-def _owned_by_component(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """rows with own counted anew: a document's shingles that nobody outside its component has.
+def _reach(most: str) -> str:
+    """Whether a set and p can reach the threshold if they share at most so many shingles."""
+    return f"(own < 0 or p.own < 0 or 100 * {most} >= {THRESHOLD} * (n + p.n - {most}))"
+
+
+def _owned_by_component(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """rows with own counted anew, a document's shingles that nobody outside its component has; and (rep, shingle) of all others.
 
     Pairs of two components can't share those. Only the documents of rows are looked at, as only they meet.
     """
@@ -221,9 +232,43 @@ def _owned_by_component(rows: DataFrame, texts: DataFrame, scratch: Scratch) ->
     spelled = texts.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_tidied(_spell), "rep long, shingle long")
     spelled = scratch.put(spelled.join(ids, "rep"), "spelled")
     held = spelled.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo = hi").select("shingle")
-    owned = scratch.put(spelled.join(scratch.put(held, "held"), "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("owned")), "owned")
+    held = scratch.put(held, "held")
+    owned = scratch.put(spelled.join(held, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("owned")), "owned")
     own = F.when(F.col("own") < 0, F.col("own")).otherwise(F.coalesce("owned", F.lit(0)))
-    return rows.join(owned, "rep", "left").withColumn("own", own).drop("owned").where(_HOPEFUL)
+    rows = rows.join(owned, "rep", "left").withColumn("own", own).drop("owned").where(_HOPEFUL)
+    return rows, spelled.join(held, "shingle", "left_anti").select("rep", "shingle")
+
+
+def _homes(rows: DataFrame, compared: DataFrame) -> DataFrame:
+    """(rep, home, inside): the first of the pivots that a document has met and shares half its set with, and how much.
+
+    The order of the pivots is the same everywhere, so that near copies mostly have one home. Ids with several texts have none and are none.
+    """
+    met = rows.where("own >= 0 and pivot.own >= 0").select("rep", "n", "pivot").distinct()
+    pair = (F.greatest("rep", "pivot.rep") == F.col("a")) & (F.least("rep", "pivot.rep") == F.col("b"))
+    met = met.join(compared, pair, "left").withColumn("inside", F.when(F.col("rep") == F.col("pivot.rep"), F.col("n")).otherwise(F.col("both")))
+    first = F.min(F.struct("pivot.e", "pivot.h", F.col("pivot.rep").alias("home"), "inside"))
+    return met.where("2 * inside >= n").groupBy("rep").agg(first.alias("f")).select("rep", "f.home", "f.inside")
+
+
+def _outside(rows: DataFrame, shared: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of two components with one home that share a shingle which the home hasn't, unless they can't reach the threshold.
+
+    A document has to share at least ``needed`` of its shingles outside; so one of those is among
+    its rarest, all but needed - 1 of them, and among the other's.
+    """
+    members = scratch.put(rows.where("home is not null").select("rep", "n", "own", "comp", "home", "inside").distinct(), "at-home")
+    spelled = texts.join(members.select(F.col("home").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_tidied(_spell), "home long, shingle long")
+    out = scratch.put(shared.join(members.select("rep", "home"), "rep").join(scratch.put(spelled, "homes-spelled"), ["home", "shingle"], "left_anti"), "outside")
+    often = scratch.put(out.groupBy("home", "shingle").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    of_rep = Window.partitionBy("rep")
+    out = out.join(often, ["home", "shingle"]).withColumn("out", F.count("*").over(of_rep)).withColumn("rank", F.row_number().over(of_rep.orderBy("often", "shingle")))
+    needed = F.greatest(F.lit(1), F.ceil(F.col("n") * THRESHOLD / 100) - F.col("inside"))
+    out = scratch.put(out.join(members.drop("home"), "rep").where(F.col("rank") <= F.col("out") - needed + 1).drop("often", "rank"), "rarest")
+    other = out.select("home", "shingle", F.struct("rep", "n", "own", "comp", "inside", "out").alias("p"))
+    most = "least(least(inside, p.inside) + least(out, p.out), n - own, p.n - p.own)"
+    pairs = out.join(other, ["home", "shingle"]).where("rep > p.rep and comp <> p.comp").where(_reach(most))
+    return pairs.select(F.col("p.rep").alias("b"), F.col("rep").alias("a"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -255,20 +300,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return scratch.put(rows.join(buckets, "bucket").select("bucket", "rep", "n", "own", "comp", "size", "pivot"), "buckets")
 
     rows = active(rows, 0)
-    # what both hold is at most what the smaller one shares with anybody
+    # what both hold is at most what the smaller one shares with anybody; if nothing is shared outside a common home, it lies inside
     most = "least(n - own, p.n - p.own)"
-    fits = f"100 * {most} >= {THRESHOLD} * (n + p.n - {most})"
-    turn, width, comps = 0, 1, None
+    inside = f"case when home = p.home then least(inside, p.inside, {most}) else {most} end"
+    turn, width, comps, homes, extra = 0, 1, None, None, None
     while True:
         is_pivot = F.col("rep") == F.col("pivot.rep")
         if turn == 0:
-            pairs = rows.select("rep", "n", "own", F.col("pivot").alias("p")).where("rep <> p.rep")
+            pairs = rows.select("rep", "n", "own", F.col("pivot").alias("p")).where("rep <> p.rep").where(_reach(most))
         else:
             is_pivot = is_pivot | (F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("size")) < width)
-            pivots = rows.where(is_pivot).select("bucket", F.struct("rep", "n", "own", "comp").alias("p"))
-            pairs = rows.drop("pivot", "size").join(pivots, "bucket").where("comp <> p.comp")
-        pairs = pairs.where(fits).select(F.least("rep", "p.rep").alias("b"), F.greatest("rep", "p.rep").alias("a")).distinct()
-        links = scratch.put(_confirmed(scratch.put(pairs, "pairs"), texts), "links")
+            pivots = rows.where(is_pivot).select("bucket", F.struct("rep", "n", "own", "comp", "home", "inside").alias("p"))
+            pairs = rows.drop("pivot", "size").join(pivots, "bucket").where("comp <> p.comp").where(_reach(inside))
+        pairs = pairs.select(F.least("rep", "p.rep").alias("b"), F.greatest("rep", "p.rep").alias("a"))
+        if extra is not None:
+            pairs, extra = pairs.unionByName(extra), None
+        compared = scratch.put(_compared(scratch.put(pairs.distinct(), "pairs"), texts), "compared")
+        if turn == 0:
+            homes = scratch.put(_homes(rows, compared), "homes")
+        links = compared.where("linked").select("a", "b").distinct()
         if comps is not None:
             links = links.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b")))
         comps = components(links, scratch)
@@ -278,9 +328,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rows = active(rest, turn)
         if rows.isEmpty():
             break
-        rows = active(_owned_by_component(rows.drop("size", "pivot"), texts, scratch), turn)
+        rows, shared = _owned_by_component(rows.drop("size", "pivot"), texts, scratch)
+        rows = active(rows, turn)
         if rows.isEmpty():
             break
+        rows = scratch.put(rows.join(homes, "rep", "left"), "at-homes")
+        if turn == 1:  # later rounds have fewer components, so those pairs are among these
+            extra = _outside(rows, shared, texts, scratch)
     of_class = classes.join(comps, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     of_class = scratch.put(of_class, "of_class")
     out = signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
