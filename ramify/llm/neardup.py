@@ -223,20 +223,22 @@ def _reach(most: str) -> str:
     return f"(own < 0 or p.own < 0 or 100 * {most} >= {THRESHOLD} * (n + p.n - {most}))"
 
 
-def _owned_by_component(rows: DataFrame, texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """rows with own counted anew, a document's shingles that nobody outside its component has; and (rep, shingle) of all others.
+def _owned_by_component(rows: DataFrame, texts: DataFrame, homes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rep, n, own, comp, home, inside) of the documents of rows, own counted anew: those shingles that nobody outside the component has.
+
+    And (rep, shingle) of all other shingles.
 
     Pairs of two components can't share those. Only the documents of rows are looked at, as only they meet.
     """
-    ids = scratch.put(rows.select("rep", "comp").distinct(), "residual")
+    ids = scratch.put(rows.select("rep", "n", "own", "comp").distinct(), "residual")
     spelled = texts.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_tidied(_spell), "rep long, shingle long")
-    spelled = scratch.put(spelled.join(ids, "rep"), "spelled")
+    spelled = scratch.put(spelled.join(ids.select("rep", "comp"), "rep"), "spelled")
     held = spelled.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo = hi").select("shingle")
     held = scratch.put(held, "held")
     owned = scratch.put(spelled.join(held, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("owned")), "owned")
     own = F.when(F.col("own") < 0, F.col("own")).otherwise(F.coalesce("owned", F.lit(0)))
-    rows = rows.join(owned, "rep", "left").withColumn("own", own).drop("owned").where(_HOPEFUL)
-    return rows, spelled.join(held, "shingle", "left_anti").select("rep", "shingle")
+    known = ids.join(owned, "rep", "left").withColumn("own", own).drop("owned").where(_HOPEFUL).join(homes, "rep", "left")
+    return scratch.put(known, "known"), spelled.join(held, "shingle", "left_anti").select("rep", "shingle")
 
 
 def _homes(rows: DataFrame, compared: DataFrame) -> DataFrame:
@@ -293,11 +295,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def active(rows: DataFrame, turn: int) -> DataFrame:
         """Members of buckets that hold several components, with their bucket's size and a pivot."""
+        rows = scratch.put(rows, "rows")  # it's read twice
         buckets = rows.groupBy("bucket").agg(
             F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
             F.min(F.struct((F.col("own") / F.col("n")).alias("e"), F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "n", "own", "comp")).alias("pivot"),
         ).where("lo < hi").select("bucket", "size", "pivot")
-        return scratch.put(rows.join(buckets, "bucket").select("bucket", "rep", "n", "own", "comp", "size", "pivot"), "buckets")
+        return scratch.put(rows.join(buckets, "bucket").select(*rows.columns, "size", "pivot"), "buckets")
 
     rows = active(rows, 0)
     # what both hold is at most what the smaller one shares with anybody; if nothing is shared outside a common home, it lies inside
@@ -328,11 +331,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rows = active(rest, turn)
         if rows.isEmpty():
             break
-        rows, shared = _owned_by_component(rows.drop("size", "pivot"), texts, scratch)
-        rows = active(rows, turn)
+        known, shared = _owned_by_component(rows, texts, homes, scratch)
+        rows = active(rows.select("bucket", "rep").join(known, "rep"), turn)
         if rows.isEmpty():
             break
-        rows = scratch.put(rows.join(homes, "rep", "left"), "at-homes")
         if turn == 1:  # later rounds have fewer components, so those pairs are among these
             extra = _outside(rows, shared, texts, scratch)
     of_class = classes.join(comps, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
