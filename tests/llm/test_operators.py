@@ -271,6 +271,28 @@ def test_near_duplicate_chains(spark):
     assert got(out, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute_groups(made), key=repr)
 
 
+def test_near_copies_around_the_threshold(spark):
+    """Hundreds of copies of two texts with few to many edits, some edits shared, some cut short: links outside the pivot's set must be found."""
+    import random
+
+    rng, made = random.Random(11), []
+    for text in range(2):
+        base = [f"t{text}w{k}" for k in range(110)]
+        edits = [(rng.randrange(110), f"e{rng.randrange(10**6)}") for _ in range(12)]
+        for k in range(150):
+            words = list(base)
+            for at, new in rng.sample(edits, rng.randint(0, 4)):
+                words[at] = new
+            for _ in range(rng.randint(0, 5)):
+                words[rng.randrange(110)] = f"n{rng.randrange(10**6)}"
+            made.append((1000 * text + k, " ".join(words[: rng.choice([110, 110, 100, 90])])))
+    rng.shuffle(made)
+    out = neardup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"))
+    want = sorted(brute_groups(made), key=repr)
+    assert 20 < sum(kept for *_, kept in want) < 200
+    assert got(out, "doc_id", "n_shingles", "component_id", "kept") == want
+
+
 def test_circulant_signature():
     import numpy as np
 
