@@ -2,13 +2,14 @@
 
 The text is folded (lower case, homoglyphs, digits that stand for letters inside a word) and padded
 so that every word is preceded by a space. The lexicon's terms are whole words and beginnings of words, each
-with a weight; exception phrases (a word, or a word and its neighbour) have none. Of all
-patterns that begin at one word the longest counts, so an exception overrides the term it holds. The score is a logistic
+with a weight; exception phrases (a longer word, or a term's word and its neighbour before or after) have none. Of all
+patterns that begin at one word the longest counts, and a pair of words also exempts what its second word holds, so an
+exception overrides the terms it holds. The score is a logistic
 function of the weights' sum normalised by length, the number of hits and of distinct terms.
 
 Everything is learned from labelled rows, of which a bounded sample is taken: at most
 SAMPLE_PER_LABEL per label, by a hash of doc_id. A term's weight is its smoothed log-odds over the
-documents that hold it. Rows whose crc32(doc_id as text) mod 3 is 1 are held out.
+documents that hold it. Pairs are counted in a second pass over the sample, only around words that hold a term. Rows whose crc32(doc_id as text) mod 3 is 1 are held out.
 
 Edge cases: a null, empty or blank text has no hits and the lowest score. Without labelled rows of both kinds
 nothing is learned: every score is 0. Labels without a document and null labels don't count. An empty table gives an empty result.
@@ -19,9 +20,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +62,7 @@ def fold(text: str) -> str:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """weights: pattern -> weight (a beginning of a word is ' abc', a whole word ' abc '); 0.0 is an exception."""
+    """weights: pattern -> weight (a beginning of a word is ' abc', a whole word ' abc ', a pair ' abc de '); 0.0 is an exception."""
 
     weights: tuple[tuple[str, float], ...] = ()
     model: tuple[float, ...] = field(default=())
@@ -72,7 +74,7 @@ def _automaton(weights: tuple[tuple[str, float], ...]):
 
     a = ahocorasick.Automaton()
     for pattern, weight in weights:
-        a.add_word(pattern, (len(pattern), weight, pattern))
+        a.add_word(pattern, (len(pattern), weight, pattern, max(0, pattern.find(" ", 1, -1))))
     a.make_automaton()
     return a
 
@@ -82,12 +84,15 @@ def features(text: str, weights: tuple[tuple[str, float], ...]) -> tuple[float,
     if not weights:
         return 0.0, 0.0, 0.0
     folded = fold(text)
-    longest: dict[int, tuple[int, float, str]] = {}
+    longest: dict[int, tuple[int, float, str, int]] = {}
+    exempt: set[int] = set()
     for end, found in _automaton(weights).iter(folded):
         start = end + 1 - found[0]
         if start not in longest or longest[start][0] < found[0]:
             longest[start] = found
-    hits = [x for x in longest.values() if x[1] > 0]
+        if found[3]:
+            exempt.add(start + found[3])
+    hits = [x for start, x in longest.items() if x[1] > 0 and start not in exempt]
     if not hits:
         return 0.0, 0.0, 0.0
     n = max(10, folded.count(" ") - 1)
@@ -110,11 +115,30 @@ def _terms(text: str) -> set[str]:
     return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(text: str, holds: Callable[[str], bool]) -> set[str]:
+    """Neighbouring words of which one holds a term."""
+    words = fold(text).split()
+    return {f" {a} {b} " for a, b in pairwise(words) if holds(a) or holds(b)}
+
+
+@lru_cache(maxsize=4)
+def _holder(terms: tuple[tuple[str, float], ...]) -> Callable[[str], bool]:
+    """Whether the longest pattern that begins at a word is a term."""
+    weights = dict(terms)
+
+    @lru_cache(maxsize=1 << 18)
+    def holds(word: str) -> bool:
+        starts = (f" {word[:n]}" for n in reversed(PREFIXES) if n < len(word))
+        return next((weights[x] > 0 for x in (f" {word} ", *starts) if x in weights), False)
+
+    return holds
+
+
+def _count(batches: Iterator[pa.RecordBatch], found_in: Callable[[str], set[str]]) -> Iterator[pa.RecordBatch]:
     of: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            of[label].update(_terms(text))
+            of[label].update(found_in(text))
     terms = list(of[0].keys() | of[1].keys())
     for at in range(0, len(terms), 50_000):
         part = terms[at : at + 50_000]
@@ -148,10 +172,13 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Lexicon:
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return Lexicon()
-    terms = sample.mapInArrow(_count, "term string, d1 long, d0 long").groupBy("term").agg(F.sum("d1").alias("d1"), F.sum("d0").alias("d0"))
+
+    def counted(found_in: Callable[[str], set[str]]) -> DataFrame:
+        return sample.mapInArrow(lambda batches: _count(batches, found_in), "term string, d1 long, d0 long").groupBy("term").agg(F.sum("d1").alias("d1"), F.sum("d0").alias("d0"))
+
     weight = F.log((F.col("d1") + 0.5) / (n1 + 1.0)) - F.log((F.col("d0") + 0.5) / (n0 + 1.0))
     gain = F.col("d1") / F.lit(float(n1)) - 4 * F.col("d0") / F.lit(float(n0))
-    terms = scratch.put(terms.withColumn("w", weight).withColumn("gain", gain), "terms")
+    terms = scratch.put(counted(_terms).withColumn("w", weight).withColumn("gain", gain), "terms")
     top = terms.where((F.col("d1") >= MIN_DOCS) & (F.col("w") >= MIN_WEIGHT)).orderBy(F.desc("gain"), "term").limit(MAX_TERMS).collect()
     weights = {r["term"]: r["w"] for r in top}
     # a beginning that is told by a longer one alone, at the same weight, adds nothing; an exception is a frequent extension without weight
@@ -163,6 +190,14 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Lexicon:
         for r in longer.orderBy(F.desc("d0"), "term").limit(MAX_TERMS).collect():
             if any(r["term"].startswith(s) and r["term"] != s for s in starts):
                 weights.setdefault(r["term"], 0.0)
+        known = tuple(sorted(weights.items()))
+
+        def around(text: str) -> set[str]:
+            return _pairs(text, _holder(known))
+
+        pairs = counted(around).withColumn("w", weight).where((F.col("d0") >= MIN_DOCS) & (F.col("w") < 0.5))
+        for r in pairs.orderBy(F.desc("d0"), "term").limit(MAX_TERMS).collect():
+            weights[r["term"]] = 0.0
     frozen = tuple(sorted(weights.items()))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -218,6 +218,23 @@ def test_toxicity(spark):
     assert got(empty, "doc_id", "held_out", "score", "predicted") == [(1, False, 0.0, 0), (None, False, 0.0, 0)]
 
 
+def test_toxicity_exception_phrases(spark, tmp_path):
+    """A term in a harmless phrase, before or after its neighbour, doesn't count; elsewhere it does."""
+    harmless = ("a royal grubnak was seen", "they drank grubnak tea again")
+    texts = [(i, f"you grubnak number {i} leave", 1) for i in range(90)] + [(100 + i, harmless[i % 2] + f" at {i}", 0) for i in range(60)]
+    texts += [(300 + i, f"plain words about subject {i}", 0) for i in range(900)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), toxicity.Scratch(spark))
+    weights = dict(lexicon.weights)
+    assert weights[" grubnak "] > 0 and weights[" royal grubnak "] == 0 and weights[" grubnak tea "] == 0
+    assert " you grubnak " not in weights
+    for t in harmless:
+        assert toxicity.features(t, lexicon.weights) == (0.0, 0.0, 0.0) and toxicity.score(t, lexicon) < toxicity.THRESHOLD
+    for t in ("you grubnak go away", "a royal grubnak and you grubnak"):
+        assert toxicity.features(t, lexicon.weights)[0] > 0
+    assert toxicity.score("you grubnak go away", lexicon) >= toxicity.THRESHOLD
+
+
 def brute_groups(rows):
     sets = []
     for i, t in rows:
