@@ -1,0 +1,112 @@
+"""The operators that plans.queries registers on returned lines only, on the whole co-part graph, where hubs are.
+
+The names end in _whole. They have no SQL, since recursion and unrolled supersteps take too long there; tests hold them against
+brute force. Split forms split above HUB, as those of plans.queries do.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ramify.operators import algorithms as A
+from ramify.operators import degrees as D
+from ramify.operators import neighbors as N
+from ramify.operators.graph import PropertyGraph, incident
+from ramify.plans.queries import COMMUNITY_STEPS, HOPS, HUB, _graph, _ids
+from ramify.sources import FIXED_WEIGHT
+from ramify.sources import tables as T
+
+
+def edge_scan_weighted(edges: DataFrame) -> DataFrame:
+    return _ids(edges, "src", "dst").withColumn("value", F.lit(FIXED_WEIGHT))
+
+
+def edge_incidence(edges: DataFrame) -> DataFrame:
+    return incident(edges).select(F.col("node").cast("string").alias("node"), F.col("neighbour").cast("string").alias("neighbour"), F.col("edge.src").alias("edge_src"))
+
+
+def triplets(edges: DataFrame) -> DataFrame:
+    return _ids(_graph(edges, True).triplets(), "src", "dst")
+
+
+def join_with_vertices(edges: DataFrame) -> DataFrame:
+    g = _graph(edges, True)
+    new = D.degrees(g).where("degree > 1").select("id", F.col("degree").alias("value"))
+    return _ids(g.join_with_vertices(new, lambda old, v: v - old).vertices, "id")
+
+
+def neighbors_group_with_value(edges: DataFrame) -> DataFrame:
+    return _ids(N.group_reduce_with_value(_graph(edges, True), "in", F.count("*").alias("n"), F.max("neighbour_value").alias("high")), "id")
+
+
+def neighbors_multiset(edges: DataFrame) -> DataFrame:
+    return _ids(N.neighbour_multisets(_graph(edges).undirected()), "id", "neighbour_id")
+
+
+def cc(edges: DataFrame) -> DataFrame:
+    return _ids(A.connected_components(_graph(edges)), "id")
+
+
+def cc_khop(edges: DataFrame) -> DataFrame:
+    return _ids(A.connected_components(_graph(edges), HOPS), "id")
+
+
+def cc_gsa_directed(edges: DataFrame) -> DataFrame:
+    return _ids(A.min_ancestor_label(_graph(edges)), "id")
+
+
+def cc_gsa_undirected(edges: DataFrame) -> DataFrame:
+    return _ids(A.min_ancestor_label(_graph(edges), HOPS, undirected=True), "id")
+
+
+def cc_split(edges: DataFrame) -> DataFrame:
+    return A.split_connected_components(_graph(edges), threshold=HUB)
+
+
+def cc_split_gsa(edges: DataFrame) -> DataFrame:
+    return A.split_connected_components(_graph(edges), HOPS, threshold=HUB)
+
+
+def triangles_multigraph(edges: DataFrame) -> DataFrame:
+    return A.triangle_count(_graph(edges).undirected(), multigraph=True)
+
+
+def jaccard_vertex(edges: DataFrame) -> DataFrame:
+    return _ids(A.jaccard_vertices(_graph(edges)), "id", "neighbour")
+
+
+def jaccard_split(edges: DataFrame) -> DataFrame:
+    return A.split_jaccard_vertices(_graph(edges), threshold=HUB)
+
+
+def jaccard_split_gsa(edges: DataFrame) -> DataFrame:
+    return A.split_jaccard_edges(_graph(edges), threshold=HUB)
+
+
+def _weighted(edges: DataFrame) -> PropertyGraph:
+    return _graph(edges.withColumn("value", F.lit(FIXED_WEIGHT)))
+
+
+def community(edges: DataFrame) -> DataFrame:
+    return _ids(A.communities(_weighted(edges), COMMUNITY_STEPS).select("id", "label"), "id")
+
+
+def community_split(edges: DataFrame) -> DataFrame:
+    return A.split_communities(_weighted(edges), COMMUNITY_STEPS, threshold=HUB).select("id", "label")
+
+
+OPERATORS = (
+    edge_scan_weighted, edge_incidence, triplets, join_with_vertices, neighbors_group_with_value, neighbors_multiset, cc, cc_khop, cc_gsa_directed, cc_gsa_undirected,
+    cc_split, cc_split_gsa, triangles_multigraph, jaccard_vertex, jaccard_split, jaccard_split_gsa, community, community_split,
+)
+
+
+def _on_copart(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: operator(T.copart(spark, d))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f"{f.__name__}_whole": _on_copart(f) for f in OPERATORS}
