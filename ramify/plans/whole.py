@@ -15,10 +15,13 @@ from ramify.operators import algorithms as A
 from ramify.operators import degrees as D
 from ramify.operators import neighbors as N
 from ramify.operators.graph import PropertyGraph, incident
-from ramify.plans.queries import COMMUNITY_STEPS, HOPS, HUB, _graph, _ids
+from ramify.plans.queries import HOPS, HUB, _graph, _ids
 from ramify.sources import FIXED_WEIGHT
 from ramify.sources import tables as T
 
+SUPERSTEPS = 30  # the reference's defaults
+COMPONENT_STEPS = 4
+
 
 def edge_scan_weighted(edges: DataFrame) -> DataFrame:
     return _ids(edges, "src", "dst").withColumn("value", F.lit(FIXED_WEIGHT))
@@ -59,7 +62,7 @@ def cc_gsa_directed(edges: DataFrame) -> DataFrame:
 
 
 def cc_gsa_undirected(edges: DataFrame) -> DataFrame:
-    return _ids(A.min_ancestor_label(_graph(edges), HOPS, undirected=True), "id")
+    return _ids(A.min_ancestor_label(_graph(edges), COMPONENT_STEPS, undirected=True), "id")
 
 
 def cc_split(edges: DataFrame) -> DataFrame:
@@ -67,7 +70,7 @@ def cc_split(edges: DataFrame) -> DataFrame:
 
 
 def cc_split_gsa(edges: DataFrame) -> DataFrame:
-    return A.split_connected_components(_graph(edges), HOPS, threshold=HUB)
+    return A.split_connected_components(_graph(edges), COMPONENT_STEPS, threshold=HUB)
 
 
 def triangles_multigraph(edges: DataFrame) -> DataFrame:
@@ -91,11 +94,11 @@ def _weighted(edges: DataFrame) -> PropertyGraph:
 
 
 def community(edges: DataFrame) -> DataFrame:
-    return _ids(A.communities(_weighted(edges), COMMUNITY_STEPS).select("id", "label"), "id")
+    return _ids(A.communities(_weighted(edges), SUPERSTEPS).select("id", "label"), "id")
 
 
 def community_split(edges: DataFrame) -> DataFrame:
-    return A.split_communities(_weighted(edges), COMMUNITY_STEPS, threshold=HUB).select("id", "label")
+    return A.split_communities(_weighted(edges), SUPERSTEPS, threshold=HUB).select("id", "label")
 
 
 OPERATORS = (

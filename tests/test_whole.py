@@ -8,10 +8,10 @@ import pytest
 
 import __spark_entry__ as entry
 from ramify.plans import oracles, whole
-from ramify.plans.queries import COMMUNITY_STEPS, HOPS, HUB
+from ramify.plans.queries import HOPS, HUB
 
 SF = "/root/testdata/sf0.001"
-SPREAD = {"cc_khop": HOPS, "cc_gsa_undirected": HOPS, "cc_split_gsa": HOPS}
+SPREAD = {"cc_khop": HOPS, "cc_gsa_undirected": 4, "cc_split_gsa": 4}
 
 
 @pytest.fixture(scope="module")
@@ -81,7 +81,7 @@ def brute(name, edges, around):
     if name.startswith("jaccard"):
         both = edges if name.endswith("gsa") else edges | {(b, a) for a, b in edges}
         return {(str(a), str(b), len(around[a] & around[b]) / len(around[a] | around[b])) for a, b in both}
-    return {(str(v), x) for v, x in labels_after(around, COMMUNITY_STEPS).items()}
+    return {(str(v), x) for v, x in labels_after(around, 30).items()}
 
 
 def test_whole_graph_has_hubs(edges, around):
@@ -97,3 +97,15 @@ def test_whole(spark, name, edges, around):
     got = [tuple(r) for r in (df.select("src", "dst", "src_value", "dst_value") if name == "triplets" else df).collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute(name, edges, around)
+
+
+def test_reference_supersteps(spark, monkeypatch):
+    """A path longer than either bound: labels move 4 hops in the component queries; communities run 30 supersteps."""
+    path = spark.createDataFrame([(k, k + 1) for k in range(1, 9)], "src long, dst long")
+    for operator in (whole.cc_gsa_undirected, whole.cc_split_gsa):
+        assert {int(r[0]): r[1] for r in operator(path).collect()} == {k: max(1, k - 4) for k in range(1, 10)}
+    ran = []
+    monkeypatch.setattr(whole.A, "communities", lambda g, steps, **_: ran.append(steps) or g.vertices.selectExpr("id", "0 label"))
+    monkeypatch.setattr(whole.A, "split_communities", lambda g, steps, **_: ran.append(steps) or g.vertices.selectExpr("id", "0 label"))
+    whole.community(path), whole.community_split(path)
+    assert ran == [30, 30]
