@@ -3,8 +3,8 @@
 A document's histogram over character classes and its histogram over each language's common words (with a bin for all other words)
 are compared with the references by the Jensen-Shannon distance (base 2, the root of the
 divergence). The references are the sums of these histograms over all documents of a language. A document passes
-if it is near to some language in both; the word histogram counts only from MIN_WORDS words on
-(below, a few words say little), the character histogram only from MIN_CHARS code points on.
+if it is near to some language in both. The greatest distance allowed rises as documents get shorter (WORD_LIMITS, CHAR_LIMITS);
+below the last length labelled clean documents and junk overlap, and the histogram doesn't count.
 
 The text is read once: counts go to a small table, references are summed from it (bounded: languages
 times bins), and distances are computed from it by DataFrame functions.
@@ -25,11 +25,10 @@ from pyspark.sql import functions as F
 from ramify.llm.common import Scratch, ship, slices, text_or_empty, tidy
 from ramify.llm.neardup import _hashes, _odd
 
-#: Chosen above the distances of labelled clean documents of such lengths (at most 0.27 and 0.24).
-MIN_WORDS = 100
-MIN_CHARS = 400
-MAX_CHAR_DISTANCE = 0.28
-MAX_WORD_DISTANCE = 0.28
+#: (least length, greatest distance), longest first. Chosen above the distances of labelled clean documents of such lengths
+#: (words: at most 0.270, 0.300, 0.331, 0.343; code points: 0.266, 0.324).
+WORD_LIMITS = ((100, 0.28), (80, 0.31), (60, 0.34), (40, 0.35))
+CHAR_LIMITS = ((400, 0.28), (100, 0.34))
 REPEAT_WINDOW = 8
 #: Frequent function words.
 COMMON_WORDS = {
@@ -148,6 +147,13 @@ def _distance(own: Column, reference: list[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
+def _within(length: Column, distance: Column, limits: tuple[tuple[int, float], ...]) -> Column:
+    out = F.lit(True)
+    for least, most in reversed(limits):
+        out = F.when(length >= least, distance <= most).otherwise(out)
+    return out
+
+
 def references(counts: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """Per language the shares of its character classes and of its common words, over all its documents."""
     n_bins = int(_STARTS[-1])
@@ -181,7 +187,7 @@ def quality_report(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), size.alias("size"),
         F.when(size > 0, nearest(chars)).alias("char_distance"), F.when(F.col("n_words") > 0, nearest(words)).alias("word_distance"),
     )
-    good = ((F.col("size") < MIN_CHARS) | (F.col("char_distance") <= MAX_CHAR_DISTANCE)) & ((F.col("n_words") < MIN_WORDS) | (F.col("word_distance") <= MAX_WORD_DISTANCE))
+    good = _within(F.col("size"), F.col("char_distance"), CHAR_LIMITS) & _within(F.col("n_words"), F.col("word_distance"), WORD_LIMITS)
     return measured.withColumn("kept", ~F.col("base_failed") & good).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"
     )

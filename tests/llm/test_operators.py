@@ -75,6 +75,20 @@ def test_quality_distance(spark):
     assert df.first()["d"] == pytest.approx(math.sqrt((kl(p) + kl(ref)) / 2), abs=1e-12)
 
 
+def test_quality_of_short_documents(spark):
+    """Words without a common one are rejected below 100 words too, down to where little can be said."""
+    import random
+
+    pick = random.Random(5)
+    rare = lambda n: ["".join(pick.choices("etaoinshrdlu", k=pick.randint(2, 9))) for _ in range(n)]
+    common = quality.COMMON_WORDS["en"][:8]
+    mixed = lambda n: [pick.choice(common) if k % 4 == 0 else w for k, w in enumerate(rare(n))]
+    texts = [(i, "en", " ".join(mixed(200))) for i in range(60)]
+    texts += [(100 + n, "en", " ".join(mixed(n))) for n in (45, 70, 90)] + [(200 + n, "en", " ".join(rare(n))) for n in (30, 45, 70, 90, 120)]
+    kept = {r.doc_id for r in quality.quality_report(spark.createDataFrame(texts, "doc_id long, lang string, text string")).where("kept").collect()}
+    assert kept == {*range(60), 145, 170, 190, 230}
+
+
 def brute_secrets(t):
     spans = []
     assign = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
