@@ -99,6 +99,10 @@ class _Parser(HTMLParser):
         self.caption: list[str] | None = None
         self.skipped = 0
         self.of_figure: int | None = None
+        self.target: int | None = None  # the medium of the open caption
+        self.in_figure = False
+        self.held: list[str] = []  # captions whose figure has no medium yet
+        self.captioned: set[int] = set()
 
     def _flush(self) -> None:
         text = " ".join("".join(self.words).split())
@@ -106,35 +110,60 @@ class _Parser(HTMLParser):
         if text:
             self.out.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
+    def _give(self, medium: int, text: str) -> None:
+        own = self.out[medium]
+        own["caption"] = f"{own['caption']} {text}" if medium in self.captioned else text
+        self.captioned.add(medium)
+
+    def _close_caption(self) -> None:
+        text = " ".join("".join(self.caption or ()).split())
+        if text and self.target is not None:
+            self._give(self.target, text)
+        elif text and self.in_figure:
+            self.held.append(text)
+        elif text:
+            self.words.append(f" {text} ")
+        self.caption = self.target = None
+
+    def end_figure(self) -> None:
+        """Close what is open; a caption whose figure has no medium is text."""
+        self._close_caption()
+        self.words.extend(f" {x} " for x in self.held)
+        self.held, self.in_figure = [], False
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         own = dict(attrs)
         if tag in self._SKIP:
             self.skipped += 1
         elif tag == "figcaption":
-            self.caption = []
+            self._close_caption()
+            self.caption, self.target = [], self.of_figure
         elif tag in self._MEDIA and own.get("src"):
             self._flush()
             src = own["src"] or ""
             digest = src.removeprefix(PREFIX) if src.startswith(PREFIX) else hashlib.sha256(src.encode("utf-8", "replace")).hexdigest()
             self.out.append({"kind": tag, "text": None, "digest": digest, "caption": own.get("alt") or own.get("title")})
             self.of_figure = len(self.out) - 1
+            for text in self.held:
+                self._give(self.of_figure, text)
+            self.held = []
+            if self.caption is not None and self.target is None:
+                self.target = self.of_figure
         elif tag in self._BREAKS:
             self.words.append(" ")
         if tag == "figure":
-            self.of_figure = None
+            self.end_figure()
+            self.of_figure, self.in_figure = None, True
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self._SKIP:
             self.skipped = max(0, self.skipped - 1)
         elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            if self.of_figure is not None and text:
-                self.out[self.of_figure]["caption"] = text
-            elif text:
-                self.words.append(f" {text} ")
-            self.caption = None
+            self._close_caption()
         elif tag in self._BREAKS:
             self.words.append(" ")
+        if tag == "figure":
+            self.end_figure()
 
     def handle_data(self, data: str) -> None:
         if not self.skipped:
@@ -145,6 +174,7 @@ def parse_page(page: str | None) -> list[dict]:
     parser = _Parser()
     parser.feed(page or "")
     parser.close()
+    parser.end_figure()
     parser._flush()
     return [{"position": i} | x for i, x in enumerate(parser.out)]
 

@@ -217,6 +217,19 @@ def test_interleaving(spark):
     assert joined == [(1, 1, "A cap", 7), (1, 3, "why", None)]
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<figure><img src=a><figcaption>one</figure><p>later text</p>", [("img", "one"), ("text", "later text")]),
+    ("<figure><img src=a><figcaption>one<figcaption>two</figure> end", [("img", "one two"), ("text", "end")]),
+    ("<figure><img src=a><figcaption>one<figure><img src=b><figcaption>two", [("img", "one"), ("img", "two")]),
+    ("<figure><figcaption>first</figcaption><img src=a alt=x></figure> end", [("img", "first"), ("text", "end")]),
+    ("<figure><figcaption>first<img src=a></figure> end", [("img", "first"), ("text", "end")]),
+    ("<figure><figcaption>alone</figcaption></figure> end <img src=a>", [("text", "alone end"), ("img", None)]),
+    ("<p>words<figcaption>never closed", [("text", "words never closed")]),
+])
+def test_captions_of_odd_figures(page, want):
+    assert [(x["kind"], x["text"] if x["kind"] == "text" else x["caption"]) for x in media.parse_page(page)] == want
+
+
 def test_toxicity(spark):
     base = "/root/testdata/sf0.01/"
     documents, labels = spark.read.parquet(base + "documents.parquet"), spark.read.parquet(base + "labels.parquet")
