@@ -10,6 +10,9 @@ from ramify.llm import bpe, chat, linededup, media, neardup, packing, pii, quali
 from ramify.llm.common import table
 
 
+_SAID = "</s>[INST] ok [/INST]"
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -48,8 +51,7 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as bigint) conv_id", "cast(turn as bigint) turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    own = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{_SAID}'), (-1L, 1L, 'assistant', '{_SAID}') AS t(conv_id, turn, role, text)")
     return chat.read_back(chat.format_windows(turns.unionByName(own)))
 
 
@@ -85,6 +87,29 @@ r AS (SELECT doc_id AS id, doc_id AS label FROM documents UNION SELECT u.y, r.la
 SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, min(label) AS component_id, min(label) = id AS kept FROM r LEFT JOIN n ON n.doc_id = id GROUP BY id, n"""
 
 
+def _chat_sql() -> str:
+    escaped = "{0}"
+    for raw, code in chat._ESCAPES:
+        escaped = f"replace({escaped}, '{raw}', '{code}')"
+    room = f"greatest(1, {chat.BUDGET - chat.HISTORY_SHARE} - system_cost)"
+    back = "".join(f" + CASE WHEN {' + '.join(f'coalesce(back{j}, {chat.BUDGET})' for j in range(1, k + 1))} <= {chat.HISTORY_SHARE} THEN chars{k} ELSE 0 END" for k in range(1, chat.HISTORY + 1))
+    lags = "".join(f", lag(cost, {k}) OVER o AS back{k}, lag(chars, {k}) OVER o AS chars{k}" for k in range(1, chat.HISTORY + 1))
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL VALUES (-1, 0, 'user', '{_SAID}'), (-1, 1, 'assistant', '{_SAID}')),
+s AS (SELECT *, '{chat._OPEN}' || {escaped.format("role")} || ']' || chr(10) || {escaped.format("text")} || '{chat._CLOSE}' AS s,
+row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i FROM t),
+c AS (SELECT *, length(s) AS chars, greatest(1, len(regexp_extract_all(s, '{chat.PIECES}')) + strlen(s) - length(s)) AS cost, i = 0 AND role = 'system' AS head FROM s),
+h AS (SELECT *, coalesce(max(cost) FILTER (WHERE head) OVER (PARTITION BY conv_id), 0) AS system_cost, coalesce(max(chars) FILTER (WHERE head) OVER (PARTITION BY conv_id), 0) AS system_chars FROM c),
+b AS (SELECT *, {room} AS room, sum(cost) OVER o - cost AS before{lags} FROM h WHERE NOT head WINDOW o AS (PARTITION BY conv_id ORDER BY i)),
+e AS (SELECT *, before // room AS cell FROM b),
+g AS (SELECT *, max(before + cost) OVER w - min(before) OVER w > room AND count(*) OVER w > 1 AND i = max(i) OVER w AS apart FROM e WINDOW w AS (PARTITION BY conv_id, cell)),
+k AS (SELECT conv_id, cell, apart, sum(chars) AS chars, min(i) AS i FROM g GROUP BY conv_id, cell, apart),
+f AS (SELECT conv_id, sum(k.chars + system_chars{back}) AS chars FROM k JOIN (SELECT * EXCLUDE (chars, cell, apart) FROM g) USING (conv_id, i) GROUP BY conv_id)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+coalesce(sum(length(text)) FILTER (WHERE role = '{chat.LOSS_ROLE}'), 0) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = '{chat.LOSS_ROLE}'), '')) AS loss_sha256,
+coalesce(any_value(f.chars), sum(c.chars)) AS formatted_chars FROM c LEFT JOIN f USING (conv_id) GROUP BY conv_id"""
+
+
 def _secrets_sql() -> str:
     parts = []
     for rank, rule in enumerate(secrets.RULES):
@@ -103,4 +128,4 @@ FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 def oracle_sql() -> dict[str, str]:
     """For the operators whose results follow from SQL; doc_id is unique and there in the tables."""
-    return {"op2_secrets": _secrets_sql(), "op7_neardup": _NEAR, "op9_linededup": _LINES}
+    return {"op2_secrets": _secrets_sql(), "op7_neardup": _NEAR, "op9_linededup": _LINES, "op10_chat": _chat_sql()}

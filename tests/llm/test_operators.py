@@ -408,25 +408,103 @@ def turns_of(spark):
     return real + odd
 
 
-def test_chat(spark):
-    turns = turns_of(spark)
-    windows = chat.format_windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).persist()
+def brute_chat(turns):
+    """What read_back returns but for formatted_chars, a row per conversation; rows without a conv_id are one each."""
     want, by = [], {}
-    for c, k, role, text in turns:
-        by.setdefault(c, []).append((k, role or "", text or ""))
-    for c, ts in by.items():
+    for n, (c, k, role, text) in enumerate(turns):
+        by.setdefault((c, n if c is None else 0), []).append((k, role or "", text or ""))
+    for (c, _), ts in by.items():
         ts.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
         said = "".join(f"{r}\n{t}\n" for _, r, t in ts)
         loss = "".join(t for _, r, t in ts if r == "assistant")
         want.append((c, len(ts), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()))
+    return want
+
+
+CHAT = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+
+
+def brute_windows(ts, budget=chat.BUDGET, history=chat.HISTORY, share=chat.HISTORY_SHARE):
+    """[(formatted, n_repeated, loss spans)] of one conversation's (role, text) turns, from the layout as the module describes it."""
+    def written(role, text):
+        for raw, code in chat._ESCAPES:
+            role, text = role.replace(raw, code), text.replace(raw, code)
+        return f"<s>[{role}]\n{text}</s>", len(f"<s>[{role}]\n")
+
+    cost = lambda s: max(1, len(re.findall(r"[A-Za-z]{1,2}|[^A-Za-z \t-\r]", s)) + len(s.encode()) - len(s))
+    whole = [(*written(r, t), r == "assistant") for r, t in ts]
+    head = whole[:1] if ts and ts[0][0] == "system" else []
+    body = whole[len(head) :]
+    room = max(1, budget - share - sum(cost(x[0]) for x in head))
+    at, cells = 0, {}
+    for k, x in enumerate(body):
+        cells.setdefault(at // room, []).append((k, at, at + cost(x[0])))
+        at += cost(x[0])
+    blocks = []
+    for own in cells.values():
+        whole_cell = len(own) < 2 or own[-1][2] - own[0][1] <= room
+        blocks += [[k for k, _, _ in own]] if whole_cell else [[k for k, _, _ in own[:-1]], [own[-1][0]]]
+    out = []
+    for w, block in enumerate(blocks or [[]]):
+        back, left = [], share
+        for k in range(block[0] - 1 if block else -1, max(-1, (block[0] if block else 0) - 1 - history), -1):
+            if (left := left - cost(body[k][0])) < 0:
+                break
+            back.insert(0, k)
+        parts = head + [body[k] for k in back + block]
+        repeated, text, spans = len(back) + (len(head) if w else 0), "", []
+        for n, (s, begin, loss) in enumerate(parts):
+            if loss and n >= repeated:
+                spans.append((len(text) + begin, len(s) - begin - 4))
+            text += s
+        out.append((text, repeated, spans))
+    return out
+
+
+def test_chat(spark):
+    turns = turns_of(spark)
+    windows = chat.format_windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).persist()
     out = chat.read_back(windows)
-    assert got(out, "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256") == sorted(want, key=repr)
-    for r in windows.where("conv_id = -3").collect():
-        parts = r["formatted"].split("</s>")[:-1]
-        assert r["formatted"].startswith("<s>[system]") and (r["window"] == 0 or r["n_repeated"] >= 1)
-        cost = sum(-(-(len(p) + 4) // 4) for p in parts)
-        assert cost <= chat.BUDGET + 1 and len(parts) > r["n_repeated"]
+    assert got(out, *CHAT) == sorted(brute_chat(turns), key=repr)
+    by = {}
+    for c, k, role, text in turns:
+        if c is not None:
+            by.setdefault(c, []).append((k is not None, k or 0, role or "", text or ""))
+    mine = {}
+    for r in windows.where("conv_id is not null").orderBy("window").collect():
+        mine.setdefault(r["conv_id"], []).append((r["formatted"], r["n_repeated"], [tuple(x) for x in r["loss_spans"]]))
+    for c, ts in by.items():
+        assert mine[c] == brute_windows([x[2:] for x in sorted(ts)]), c
     assert windows.where("conv_id = -3 and n_repeated = 3").count() > 0
+    for h, share in ((0, 256), (1, 256), (4, 500)):
+        wins = chat.format_windows(spark.createDataFrame([t for t in turns if t[0] in (-3, -5, 0)], "conv_id long, turn long, role string, text string"), 900, h, share)
+        mine = {}
+        for r in wins.orderBy("window").collect():
+            mine.setdefault(r["conv_id"], []).append((r["formatted"], r["n_repeated"], [tuple(x) for x in r["loss_spans"]]))
+        for c in (-3, -5, 0):
+            assert mine[c] == brute_windows([x[2:] for x in sorted(by[c])], 900, h, share), (c, h)
+
+
+def test_chat_costs(spark):
+    """Counts that a table has are taken; those made here are seldom below what a tokenizer counts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    turns = spark.createDataFrame([(1, k, "user", "one word", 700) for k in range(4)], "conv_id long, turn long, role string, text string, n_tokens int")
+    assert chat.format_windows(turns).count() == 4 and chat.format_windows(turns.drop("n_tokens")).count() == 1
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("text", chat.pieces(F.col("text")).alias("n")).collect()
+    own = [len(e.ids) for e in t.encode_batch([r["text"] for r in rows])]
+    assert sum(r["n"] < n for r, n in zip(rows, own)) <= 0.02 * len(rows) and sum(own) <= sum(r["n"] for r in rows) < 1.5 * sum(own)
+
+
+def test_chat_of_one_long_conversation(spark):
+    """Many turns, over many chunks; with ties, and a second conversation beside."""
+    n = 60_000
+    turns = spark.range(n).selectExpr("cast(7 as bigint) conv_id", "id div 2 turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('turn ', id, repeat(' word', cast(id % 40 as int))) text")
+    turns = turns.unionByName(spark.createDataFrame([(8, 0, "assistant", "x")], "conv_id long, turn long, role string, text string"))
+    rows = [tuple(r) for r in turns.collect()]
+    assert got(chat.read_back(chat.format_windows(turns)), *CHAT) == sorted(brute_chat(rows), key=repr)
 
 
 def test_empty_tables(spark):
