@@ -8,11 +8,12 @@ exception overrides the terms it holds. The score is a logistic
 function of the weights' sum normalised by length, the number of hits and of distinct terms.
 
 Everything is learned from labelled rows, of which a bounded sample is taken: at most
-SAMPLE_PER_LABEL per label, by a hash of doc_id. A term's weight is its smoothed log-odds over the
+SAMPLE_PER_LABEL per label, by a hash of doc_id, and of the terms and the exceptions of each kind at most MAX_TERMS. A term's weight is its smoothed log-odds over the
 documents that hold it. Pairs are counted in a second pass over the sample, only around words that hold a term. Rows whose crc32(doc_id as text) mod 3 is 1 are held out.
 
 Edge cases: a null, empty or blank text has no hits and the lowest score. Without labelled rows of both kinds
-nothing is learned: every score is 0. Labels without a document and null labels don't count. An empty table gives an empty result.
+nothing is learned: every score is 0. Labels without a document and null labels don't count; a doc_id with both labels
+counts as toxic, and of several texts under one doc_id the least is learned from. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -56,8 +57,7 @@ def fold(text: str) -> str:
     low = text.lower()
     if not low.isascii() and _ODD.search(low):
         low = low.translate(_FOLD).lower()
-    low = _MIXED.sub(lambda m: m[0].translate(_SUBSTITUTES), low)
-    return " " + _APART.sub(" ", low).strip() + " "
+    return " " + _APART.sub(" ", _MIXED.sub(lambda m: m[0].translate(_SUBSTITUTES), low)).strip() + " "
 
 
 @dataclass(frozen=True)
@@ -145,29 +145,30 @@ def _count(batches: Iterator[pa.RecordBatch], found_in: Callable[[str], set[str]
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([of[1][t] for t in part], pa.int64()), pa.array([of[0][t] for t in part], pa.int64())], ["term", "d1", "d0"])
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Logistic regression by Newton's method with a small ridge."""
+def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
+    """Logistic regression by Newton's method with a small ridge; weight: the rows that each row stands for."""
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(a.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - y) + 0.05 * w * np.r_[0, np.ones(len(w) - 1)]
-        hess = (a * (p * (1 - p))[:, None]).T @ a + 0.05 * np.eye(len(w))
+        grad = a.T @ (weight * (p - y)) + 0.05 * w * np.r_[0, np.ones(len(w) - 1)]
+        hess = (a * (weight * p * (1 - p))[:, None]).T @ a + 0.05 * np.eye(len(w))
         w -= np.linalg.solve(hess, grad)
     return tuple(map(float, w))
 
 
 def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Lexicon:
-    """The lexicon and its model, from labelled rows that aren't held out."""
+    """The lexicon and its model, from labelled rows that aren't held out. A row of the sample counts in the fit for as many as its label has."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    rows = rows.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
+    rows = rows.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1).groupBy("doc_id").agg(F.max("label").alias("label"))
+    labelled = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
     picked = None
     for value in (0, 1):
         part = rows.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_LABEL)
         picked = part if picked is None else picked.unionByName(part)
     picked = scratch.put(picked, "picked")  # at most 2 * SAMPLE_PER_LABEL rows of 12 bytes
-    sample = ids_and_text(docs).join(F.broadcast(picked), "doc_id").select("text", "label")
-    sample = scratch.put(sample, "sample")
+    sample = ids_and_text(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    sample = scratch.put(sample.select("text", "label"), "sample")
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
@@ -182,14 +183,14 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Lexicon:
     top = terms.where((F.col("d1") >= MIN_DOCS) & (F.col("w") >= MIN_WEIGHT)).orderBy(F.desc("gain"), "term").limit(MAX_TERMS).collect()
     weights = {r["term"]: r["w"] for r in top}
     # a beginning that is told by a longer one alone, at the same weight, adds nothing; an exception is a frequent extension without weight
-    starts = sorted({t.rstrip() for t in weights})
+    starts = tuple(sorted(t for t in weights if not t.endswith(" ")))
     if starts:
         longer = terms.where((F.col("d0") >= MIN_DOCS) & (F.col("w") < 0.5))
-        heads = {t[: 1 + n] for t in starts for n in PREFIXES if len(t) > n} | set(starts)
-        longer = longer.where(F.array(*(F.substring("term", 1, 1 + n) for n in PREFIXES)).getItem(0).isin(sorted({h[: 1 + PREFIXES[0]] for h in heads})))
+        longer = longer.where(F.substring("term", 1, 1 + PREFIXES[0]).isin(sorted({t[: 1 + PREFIXES[0]] for t in starts})))
         for r in longer.orderBy(F.desc("d0"), "term").limit(MAX_TERMS).collect():
-            if any(r["term"].startswith(s) and r["term"] != s for s in starts):
+            if r["term"].startswith(starts):
                 weights.setdefault(r["term"], 0.0)
+    if weights:
         known = tuple(sorted(weights.items()))
 
         def around(text: str) -> set[str]:
@@ -206,10 +207,10 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Lexicon:
             columns = zip(*got, strict=True) if got else ([],) * 3
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.float64()) for c in columns), batch.column(1)], ["x0", "x1", "x2", "label"])
 
-    data = np.array(sample.mapInArrow(measured, "x0 double, x1 double, x2 double, label int").collect(), float)  # bounded by the sample
-    # weigh both kinds so that the sample's stratification doesn't shift the scores
+    data = np.array(sample.mapInArrow(measured, "x0 double, x1 double, x2 double, label int").collect(), float)  # 2 * SAMPLE_PER_LABEL rows at most
     data = data[np.lexsort(data.T)]
-    return Lexicon(frozen, _fit(data[:, :3], data[:, 3]))
+    # both kinds weigh what they do among all labelled rows, however many of them the sample has
+    return Lexicon(frozen, _fit(data[:, :3], data[:, 3], np.where(data[:, 3] == 1, labelled[1] / n1, labelled[0] / n0)))
 
 
 def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -231,12 +232,11 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     ship(docs.sparkSession)
     names = docs.columns
 
-    @F.pandas_udf("double")
+    @F.arrow_udf("double")
     def toxicity(texts):  # noqa: ANN001, ANN202
-        return texts.map(lambda t: score(t, lexicon))
+        return pa.array([score(t.as_py(), lexicon) for t in texts], pa.float64())
 
-    # written here, so that small Arrow batches hold for it
-    return Scratch(docs.sparkSession).put(docs.where(toxicity(text_or_empty()) < THRESHOLD).select(*names), "not-toxic")
+    return docs.where(toxicity(text_or_empty()) < THRESHOLD).select(*names)
 
 
 def learn_from(spark: SparkSession, sf_dir: str) -> Lexicon:

@@ -262,6 +262,54 @@ def test_toxicity_exception_phrases(spark, tmp_path):
     assert toxicity.score("you grubnak go away", lexicon) >= toxicity.THRESHOLD
 
 
+def brute_features(text, weights):
+    """Longest pattern at each word by trying them all; a pair also exempts its second word."""
+    import math
+
+    low = "".join(toxicity.LOOKALIKES.get(c, "" if c in "\u200b\u200c\u200d\u2060\ufeff\xad" else c) for c in text.lower())
+    low = re.sub(r"[^\W\d_]*(?:[0-9@$!]+[^\W\d_]+)+[0-9$!]*|[^\W\d_]+[0-9$]+", lambda m: "".join(toxicity.SUBSTITUTES.get(c, c) for c in m[0]), low)
+    folded = " " + " ".join(re.findall(r"[^\W_]+", low)) + " "
+    best, exempt = {}, set()
+    for at in [k for k, c in enumerate(folded) if c == " "]:
+        found = [p for p in weights if folded.startswith(p, at)]
+        exempt |= {at + p.index(" ", 1) for p in found if " " in p[1:-1]}
+        if found:
+            best[at] = max(found, key=len)
+    hits = [p for at, p in best.items() if weights[p] > 0 and at not in exempt]
+    if not hits:
+        return 0.0, 0.0, 0.0
+    return sum(weights[p] for p in hits) / math.sqrt(max(10, folded.count(" ") - 1)), math.log1p(len(set(hits))), max(weights[p] for p in hits)
+
+
+def test_toxicity_matching():
+    import random
+
+    rng, parts = random.Random(8), ["grub", "grubnak", "grubnaks", "tea", "ro", "royal", "nak", "x"]
+    for _ in range(60):
+        weights = {}
+        for _ in range(12):
+            w, v = rng.choice(parts), rng.choice(parts)
+            weights[rng.choice([f" {w} ", f" {w[:4]}", f" {w} {v} "])] = rng.choice([0.0, 1.5, 2.25, 3.0])
+        for _ in range(20):
+            text = "".join(rng.choice(parts + ["gr4b", "gr\u0443bnak", "GRUB", "na\u200bk", "t3a", "r0", "5"]) + rng.choice([" ", " ", "_", "! ", "", "  \n"]) for _ in range(rng.randint(0, 25)))
+            want = brute_features(text, weights)
+            assert toxicity.features(text, tuple(sorted(weights.items()))) == pytest.approx(want), (text, weights)
+
+
+def test_toxicity_sample_keeps_the_prior(spark, monkeypatch):
+    """A smaller sample of the commoner label doesn't make the other likelier; repeated ids don't make the sample larger."""
+    texts = [(i, f"you grubnak number {i}" if i % 3 else f"plain words {i}", 1) for i in range(90)] + [(1000 + i, f"plain words about subject {i}", 0) for i in range(3000)]
+    texts += [(5000 + i, f"a grubnak of {i}", 0) for i in range(300)]
+    docs = spark.createDataFrame([t[:2] for t in texts] + [(1000, "other words")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in texts], "doc_id long, toxic int")
+    scores = []
+    for most in (4000, 400):
+        monkeypatch.setattr(toxicity, "SAMPLE_PER_LABEL", most)
+        lexicon = toxicity.learn(docs, labels, toxicity.Scratch(spark))
+        scores.append((toxicity.score("plain words", lexicon), toxicity.score("you grubnak there", lexicon)))
+    assert scores[0][0] < 0.03 and scores[1][0] < 0.03 and abs(scores[0][1] - scores[1][1]) < 0.1, scores
+
+
 def brute_groups(rows):
     sets = []
     for i, t in rows:
