@@ -95,19 +95,79 @@ _DIGIT_ALTERNATIVES = "|".join(sorted(_DIGIT, key=len, reverse=True))
 _DOT_WORDS = "dot|punkt|punto|point"
 _AT_WORDS = "at|arroba"
 _BETWEEN = rf"(?:[ ,-]{{1,3}}|[ ]?[.][ ]?|[ ](?:{_DOT_WORDS})[ ])"
-_SPELLED = re.compile(rf"(?<!\w)(?:plus[ ])?(?:{_DIGIT_ALTERNATIVES})(?:{_BETWEEN}(?:{_DIGIT_ALTERNATIVES})){{3,}}(?!\w)", re.I)
-_SPELLED_PART = re.compile(rf"(?P<plus>plus[ ])|(?P<digit>{_DIGIT_ALTERNATIVES})|(?P<dot>[ ]?[.][ ]?|[ ](?:{_DOT_WORDS})[ ])|(?P<gap>[ ,-]+)", re.I)
+#: Digits as words or as numerals, next to each other.
+_NUMBER = rf"(?:(?:{_DIGIT_ALTERNATIVES})(?!\w)|[0-9]++(?!\w))"
+_SPELLED = re.compile(rf"(?<!\w)(?:plus[ ])?{_NUMBER}(?:{_BETWEEN}{_NUMBER})++", re.I)
+_SPELLED_PART = re.compile(rf"(?P<plus>plus[ ])|(?P<digit>{_DIGIT_ALTERNATIVES})|(?P<dot>[ ]?[.][ ]?|[ ](?:{_DOT_WORDS})[ ])|(?P<gap>[ ,-]+)|(?P<numeral>[0-9]+)", re.I)
+LEAST_SPELLED = 4  # digit words in a run without a numeral
 _OPEN, _SHUT = r"[ ]?[\[({<][ ]?", r"[ ]?[\])}>][ ]?"
-_ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:{_OPEN}(?:{_AT_WORDS}|@){_SHUT}|[ ](?:{_AT_WORDS})[ ]|[ ]?@[ ]?)"
-    rf"[A-Za-z0-9-]{{1,63}}(?:(?:{_OPEN}(?:{_DOT_WORDS}|\.){_SHUT}|[ ](?:{_DOT_WORDS})[ ]|\.)[A-Za-z0-9-]{{1,63}})+", re.I,
-)
-_ADDRESS_PART = re.compile(
-    rf"(?P<at>{_OPEN}(?:{_AT_WORDS}|@){_SHUT}|[ ](?:{_AT_WORDS})[ ]|[ ]?@[ ]?)|(?P<dot>{_OPEN}(?:{_DOT_WORDS}|\.){_SHUT}|[ ](?:{_DOT_WORDS})[ ])", re.I
-)
+_DISGUISED_DOT = rf"(?:{_OPEN}(?:{_DOT_WORDS}|\.){_SHUT}|[ ](?:{_DOT_WORDS})[ ])"
+_AT = re.compile(rf"{_OPEN}(?:{_AT_WORDS}|@){_SHUT}|[ ](?:{_AT_WORDS})[ ]|[ ]?@[ ]?", re.I)
+_LABELS = re.compile(rf"[A-Za-z0-9-]++(?:(?:{_DISGUISED_DOT}|\.)[A-Za-z0-9-]++)++", re.I)
+_DOT_PART = re.compile(_DISGUISED_DOT, re.I)
+_DOT_BEFORE = re.compile(rf"{_DISGUISED_DOT}\Z", re.I)
+_LONGEST_DOT = max(map(len, _DOT_WORDS.split("|"))) + 6  # with brackets and blanks
 #: Top-level domains; an address whose at and dots are bare words must end in one.
 _TOP = frozenset("com org net edu gov mil int info biz io dev app co me tv ai us uk eu de fr es it nl be ch at pl ru pt br mx ar cl ca au nz in jp cn example test".split())
-_ADDRESS_HINT = re.compile(rf"[\[({{<][ ]?(?:{_AT_WORDS}|@|{_DOT_WORDS}|\.)[ ]?[\])}}>]|[ ](?:{_DOT_WORDS})[ ]|[ ]@|@[ ]", re.I)
+#: Words after which "at" and a domain are a place to go to, not an address.
+_PLACES = frozenset(
+    "look looked looking us me you it is are was were be been here there more available found find visit see read online live site page shop store order book up out in on hosted listed "
+    "published posted page website homepage work works worked working sold starts started time start stay meet met people team staff and or that this them him her".split()
+)
+_ADDRESS_HINT = re.compile(
+    rf"[\[({{<][ ]?(?:{_AT_WORDS}|@|{_DOT_WORDS}|\.)[ ]?[\])}}>]|[ ](?:{_DOT_WORDS})[ ]|[ ]@|@[ ]|[ ](?:{_AT_WORDS})[ ][A-Za-z0-9-]++\.[A-Za-z]", re.I
+)
+
+
+def _addresses(text: str) -> list[tuple[int, int, str]]:
+    """Edits that undo at/dot disguises. Each separator is looked at from its place to both sides, up to its neighbours, so time is linear."""
+    edits: list[tuple[int, int, str]] = []
+    floor, m = 0, _AT.search(text)
+    while m:
+        domain = _LABELS.match(text, m.end())
+        start = m.start()
+        while start > floor and text[start - 1] in _LOCAL:
+            start -= 1
+        found = False
+        if domain and start < m.start():
+            sign = m[0].strip().lower()
+            bare = sign in _AT_WORDS.split("|")
+            dots = list(_DOT_PART.finditer(text, domain.start(), domain.end()))
+            bracketed = any(p[0].strip()[0] in "[({<" for p in dots)
+            named = _NOT_LABEL.split(domain[0])[-1].lower() in _TOP
+            place = text[start : m.start()].lower() in _PLACES
+            found = (m[0] != "@" or bool(dots)) and (not bare or bracketed or (named and (bool(dots) or not place)))
+        if not found or domain is None:
+            floor = m.end()
+            m = _AT.search(text, m.end())
+            continue
+        local: list[tuple[int, int, str]] = []
+        while before := _DOT_BEFORE.search(text[max(floor, start - _LONGEST_DOT) : start]):
+            end, begin = start, start - len(before[0])
+            start = begin
+            while start > floor and text[start - 1] in _LOCAL:
+                start -= 1
+            if start == begin:
+                break
+            local.insert(0, (begin, end, "."))
+        edits += local
+        if m[0] != "@":
+            edits.append((*m.span(), "@"))
+        edits += [(*p.span(), ".") for p in dots]
+        floor = domain.end()
+        m = _AT.search(text, domain.end())
+    return edits
+
+
+_NOT_LABEL = re.compile(r"[^A-Za-z0-9-]+")
+
+
+def _spelled(text: str) -> Iterator[re.Match]:
+    """Runs of digits with words among them."""
+    for m in _SPELLED.finditer(text):
+        words = sum(bool(p["digit"]) for p in _SPELLED_PART.finditer(m[0]))
+        if words >= LEAST_SPELLED or words and any(c in "0123456789" for c in m[0]):
+            yield m
 
 
 class Mapped:
@@ -144,29 +204,20 @@ def deobfuscate(text: str) -> Mapped | None:
     """The text behind its disguises; None if it has none."""
     glyphs = None if text.isascii() else _GLYPH.search(text)
     hint = _ADDRESS_HINT.search(text)
-    spelled = _SPELLED.search(text)
+    spelled = next(_spelled(text), None)
     if not (glyphs or hint or spelled):
         return None
     out = Mapped(text)
     if glyphs:
         out.rewrite([(*m.span(), HOMOGLYPHS[m[0]]) for m in _GLYPH.finditer(out.text)])
-    edits = []
     if _ADDRESS_HINT.search(out.text):
-        for m in _ADDRESS.finditer(out.text):
-            parts = list(_ADDRESS_PART.finditer(m[0]))
-            at = [p for p in parts if p["at"]]
-            dots = [p for p in parts if p["dot"]]
-            bare = len(at) == 1 and at[0]["at"].strip().lower() in _AT_WORDS.split("|")
-            bracketed = any(p["dot"].strip()[0] in "[({<" for p in dots)
-            named = m[0].rsplit(" ", 1)[-1].rsplit(".", 1)[-1].lower() in _TOP
-            if len(at) == 1 and (not bare or bracketed or dots and named):  # a bare "at" is a word like any other
-                edits += [(m.start() + p.start(), m.start() + p.end(), "@" if p["at"] else ".") for p in parts if p[0] not in ("@", ".")]
-    out.rewrite(edits)
+        out.rewrite(_addresses(out.text))
     edits = []
-    for m in _SPELLED.finditer(out.text):
+    for m in _spelled(out.text):
         for p in _SPELLED_PART.finditer(m[0]):
-            new = "+" if p["plus"] else _DIGIT[p["digit"].lower()] if p["digit"] else "." if p["dot"] else ""
-            edits.append((m.start() + p.start(), m.start() + p.end(), new))
+            if not p["numeral"]:
+                new = "+" if p["plus"] else _DIGIT[p["digit"].lower()] if p["digit"] else "." if p["dot"] else ""
+                edits.append((m.start() + p.start(), m.start() + p.end(), new))
     out.rewrite(edits)
     return out if any(out.changed) else None
 

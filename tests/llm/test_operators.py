@@ -156,6 +156,40 @@ def test_disguises():
     assert pii.find("call one nine two dot one six eight dot one dot one now")[1] == [("ip", 5, 51)]
 
 
+@pytest.mark.parametrize("text, want", [
+    ("n" * 70 + " at example dot com", ["n" * 70 + " at example dot com"]),
+    ("mail x@" + "d" * 80 + " dot org today", ["x@" + "d" * 80 + " dot org"]),
+    ("write to jane at example.com now", ["jane at example.com"]),
+    ("look at example.com and contact us at example.org", []),
+    ("it was at noon.then", []),
+    ("ask john dot doe at example dot com, please", ["john dot doe at example dot com"]),
+    ("ask john (dot) q [dot] doe (at) mail dot example dot com", ["john (dot) q [dot] doe (at) mail dot example dot com"]),
+    ("call plus 4 nine one 5 one 2 three 4 five 6 today", ["plus 4 nine one 5 one 2 three 4 five 6"]),
+    ("host 192.168.one.1 is down", ["192.168.one.1"]),
+    ("host 192 dot 168 dot one dot 1 is down", ["192 dot 168 dot one dot 1"]),
+    ("card 4111 1111 one one one 1 1111", ["4111 1111 one one one 1 1111"]),
+    ("one 2 and three, 4 pages", []),
+    ("plain a@b.org and the dot c@d.org", []),
+])
+def test_disguises_beside_others(text, want):
+    assert [text[a:b] for _, a, b in pii.find(text)[1]] == want
+
+
+def test_disguises_take_linear_time():
+    import time
+
+    for part in ("x dot ", "a at ", "one ", "1 two ", "x@", "(at) ", "dot dot ", "a" * 50, "one 2 . "):
+        began = time.perf_counter()
+        pii.find(part * (400_000 // len(part)))
+        assert time.perf_counter() - began < 20, part
+
+
+def test_masking():
+    text = "joe (at) mail [dot] org or a@b.org, 1.2.3.4 and nothing"
+    assert pii.mask_text(text) == "<email> or <email>, <ip> and nothing"
+    assert pii.mask_text("") == ""
+
+
 @pytest.fixture(scope="module")
 def tiktoken_encoding():
     import public_tokenizers as P
