@@ -22,9 +22,10 @@ common pivot, their home. What two of them share lies inside the home's set, whe
 the one with less of it has, or outside. So a pair is compared only if what lies inside can suffice, or
 if both have a shingle outside; those pairs come from an index of the shingles outside.
 
-Edge cases: null, empty or blank text has an empty set and links with nothing. Rows with equal
-doc_id count as one document with several texts. A null doc_id never represents a class; such a row
-gets its class's component, or null if there is none. An empty table gives an empty result.
+What is linked are classes of equal sets, each with a number of its own, so rows that share a doc_id are judged by their own texts.
+
+Edge cases: null, empty or blank text has an empty set and links with nothing. Rows with equal doc_id and different texts may be in
+different components. A row without a doc_id gets its component's least doc_id, or null if there is none. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ramify.llm.common import Scratch, ids_and_text, ship, slices, tidy
+from ramify.llm.common import WHITESPACE, Scratch, ids_and_text, ship, slices, text_or_empty, tidy
 
 SHINGLE = 5
 BANDS, ROWS = 40, 5
@@ -119,7 +120,7 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return h.view(np.int64)
 
 
-_SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+_SIGNED = "doc_id long, text_key binary, n_shingles long, set_key binary, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +128,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         n, keys, bands, at = [], [], [], [0]
-        for text in batch.column(1):
+        for text in batch.column(2):
             s = shingle_set(text.as_py())
             n.append(len(s))
             keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -136,8 +137,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at.append(at[-1] + (BANDS if len(s) else 0))
         flat = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)],
-            ["doc_id", "n_shingles", "set_key", "bands"],
+            [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), flat)],
+            ["doc_id", "text_key", "n_shingles", "set_key", "bands"],
         )
 
 
@@ -167,8 +168,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return full.mapInArrow(_tidied(_compare), "a long, b long, both long, linked boolean")
 
@@ -209,18 +210,16 @@ def _tidied(run):  # noqa: ANN001, ANN202
 
 def _facts(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rep, n, own): the size of each set, and how many of its shingles no other of the texts has."""
-    spelled = texts.select("doc_id", "text").mapInArrow(_tidied(_spell), "rep long, shingle long")
-    found = spelled.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"), F.count("*").alias("n"))
+    spelled = texts.mapInArrow(_tidied(_spell), "rep long, shingle long")
+    found = spelled.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
     alone = found.where("rep = last").groupBy("rep").agg(F.count("*").alias("own"))
-    # -1 for an id with several texts: what one of them has alone says nothing of the others
-    sizes = classes.groupBy("rep").agg(F.max("n").alias("n")).join(wanted, F.col("rep") == F.col("doc_id"), "left_semi")
-    sizes = sizes.join(texts.groupBy(F.col("doc_id").alias("rep")).agg(F.count("*").alias("sets")), "rep")
-    return sizes.join(alone, "rep", "left").select("rep", "n", F.when(F.col("sets") == 1, F.coalesce("own", F.lit(0))).otherwise(-1).alias("own"))
+    sizes = classes.select("rep", "n").join(wanted, "rep", "left_semi")
+    return sizes.join(alone, "rep", "left").select("rep", "n", F.coalesce("own", F.lit(0)).alias("own"))
 
 
 def _reach(most: str) -> str:
     """Whether a set and p can reach the threshold if they share at most so many shingles."""
-    return f"(own < 0 or p.own < 0 or 100 * {most} >= {THRESHOLD} * (n + p.n - {most}))"
+    return f"(100 * {most} >= {THRESHOLD} * (n + p.n - {most}))"
 
 
 def _owned_by_component(rows: DataFrame, texts: DataFrame, homes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -231,22 +230,21 @@ def _owned_by_component(rows: DataFrame, texts: DataFrame, homes: DataFrame, scr
     Pairs of two components can't share those. Only the documents of rows are looked at, as only they meet.
     """
     ids = scratch.put(rows.select("rep", "n", "own", "comp").distinct(), "residual")
-    spelled = texts.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_tidied(_spell), "rep long, shingle long")
+    spelled = texts.join(ids.select("rep"), "rep", "left_semi").select("rep", "text").mapInArrow(_tidied(_spell), "rep long, shingle long")
     spelled = scratch.put(spelled.join(ids.select("rep", "comp"), "rep"), "spelled")
     held = spelled.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo = hi").select("shingle")
     held = scratch.put(held, "held")
     owned = scratch.put(spelled.join(held, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("owned")), "owned")
-    own = F.when(F.col("own") < 0, F.col("own")).otherwise(F.coalesce("owned", F.lit(0)))
-    known = ids.join(owned, "rep", "left").withColumn("own", own).drop("owned").where(_HOPEFUL).join(homes, "rep", "left")
+    known = ids.join(owned, "rep", "left").withColumn("own", F.coalesce("owned", F.lit(0))).drop("owned").where(_HOPEFUL).join(homes, "rep", "left")
     return scratch.put(known, "known"), spelled.join(held, "shingle", "left_anti").select("rep", "shingle")
 
 
 def _homes(rows: DataFrame, compared: DataFrame) -> DataFrame:
     """(rep, home, inside): the first of the pivots that a document has met and shares half its set with, and how much.
 
-    The order of the pivots is the same everywhere, so that near copies mostly have one home. Ids with several texts have none and are none.
+    The order of the pivots is the same everywhere, so that near copies mostly have one home.
     """
-    met = rows.where("own >= 0 and pivot.own >= 0").select("rep", "n", "pivot").distinct()
+    met = rows.select("rep", "n", "pivot").distinct()
     pair = (F.greatest("rep", "pivot.rep") == F.col("a")) & (F.least("rep", "pivot.rep") == F.col("b"))
     met = met.join(compared, pair, "left").withColumn("inside", F.when(F.col("rep") == F.col("pivot.rep"), F.col("n")).otherwise(F.col("both")))
     first = F.min(F.struct("pivot.e", "pivot.h", F.col("pivot.rep").alias("home"), "inside"))
@@ -260,7 +258,7 @@ def _outside(rows: DataFrame, shared: DataFrame, texts: DataFrame, scratch: Scra
     its rarest, all but needed - 1 of them, and among the other's.
     """
     members = scratch.put(rows.where("home is not null").select("rep", "n", "own", "comp", "home", "inside").distinct(), "at-home")
-    spelled = texts.join(members.select(F.col("home").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_tidied(_spell), "home long, shingle long")
+    spelled = texts.join(members.select(F.col("home").alias("rep")).distinct(), "rep", "left_semi").select("rep", "text").mapInArrow(_tidied(_spell), "home long, shingle long")
     out = scratch.put(shared.join(members.select("rep", "home"), "rep").join(scratch.put(spelled, "homes-spelled"), ["home", "shingle"], "left_anti"), "outside")
     often = scratch.put(out.groupBy("home", "shingle").agg(F.count("*").alias("often")).where("often > 1"), "often")
     of_rep = Window.partitionBy("rep")
@@ -273,23 +271,28 @@ def _outside(rows: DataFrame, shared: DataFrame, texts: DataFrame, scratch: Scra
     return pairs.select(F.col("p.rep").alias("b"), F.col("rep").alias("a"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (see the module's notes)."""
-    spark = docs.sparkSession
-    ship(spark)
-    scratch = Scratch(spark)
-    docs = ids_and_text(docs)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key (a digest of the text), text."""
+    return ids_and_text(docs).select("doc_id", F.unhex(F.md5("text")).alias("text_key"), "text")
+
+
+def _linked(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, text_key, n_shingles, first (the component's least (no_id, doc_id, text_key); null without words) for every row of docs."""
+    docs = _keyed(docs)
     signed = scratch.put(docs.mapInArrow(_tidied(_sign), _SIGNED), "signed")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
     classes = scratch.put(
-        signed.where("set_key is not null").groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
+        signed.where("set_key is not null").groupBy("set_key").agg(least.alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        .withColumn("rep", F.monotonically_increasing_id()),  # as written, so it stays
         "classes",
     )
-    members = classes.where("rep is not null").select(F.explode("bands").alias("bucket"), "rep")
+    members = classes.select(F.explode("bands").alias("bucket"), "rep")
     shared = scratch.put(members.groupBy("bucket").count().where("count > 1").select("bucket"), "shared")
     rows = scratch.put(members.join(shared, "bucket"), "members")
-    wanted = scratch.put(rows.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    texts = scratch.put(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(), "texts")
+    wanted = scratch.put(rows.select("rep").distinct(), "wanted")
+    where = classes.join(wanted, "rep", "left_semi").select("rep", F.col("first.doc_id").alias("of_id"), F.col("first.text_key").alias("of_key"))
+    found = docs.join(where, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")))
+    texts = scratch.put(found.select("rep", "text").dropDuplicates(), "texts")
     facts = scratch.put(_facts(texts, classes, wanted), "facts").where(_HOPEFUL)
     rows = rows.join(facts, "rep").withColumn("comp", F.col("rep"))
 
@@ -337,21 +340,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         if turn == 1:  # later rounds have fewer components, so those pairs are among these
             extra = _outside(rows, shared, texts, scratch)
-    of_class = classes.join(comps, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    of_class = scratch.put(of_class, "of_class")
-    out = signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    labels = comps.join(classes.select(F.col("rep").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("label"))
+    labels = scratch.put(labels, "labels")
+    of_class = classes.join(comps.join(labels, "component").select(F.col("node").alias("rep"), "label"), "rep", "left")
+    of_class = scratch.put(of_class.select("set_key", F.coalesce("label", "first").alias("first")), "of_class")
+    return signed.select("doc_id", "text_key", "n_shingles", "set_key").join(of_class, "set_key", "left").drop("set_key")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (see the module's notes)."""
+    ship(docs.sparkSession)
+    linked = _linked(docs, Scratch(docs.sparkSession))
+    component = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return linked.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near duplicates; all columns stay.
+    """docs with one row of each component, that of the least doc_id (any of them where id and text repeat); all columns stay.
 
-    Rows without a doc_id can't be told apart by it; they stay as they are.
+    Rows without words are in no component and stay. So does each text of a doc_id that is in no other's component, and
+    of a component without any doc_id one row.
     """
+    ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
-    kept = scratch.put(near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__ramify_kept")).distinct(), "kept")
-    ids = docs["doc_id"].cast("long")
-    one = docs.join(kept, ids == kept["__ramify_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where(docs["doc_id"].isNull()))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    stay = _linked(docs, scratch).where(own == F.col("first")).select(F.col("doc_id").alias("__ramify_id"), F.col("text_key").alias("__ramify_key")).distinct()
+    stay = scratch.put(stay, "kept")
+    text = text_or_empty()
+    blank = F.btrim(text, F.lit(WHITESPACE)) == ""
+    keyed = docs.withColumn("__ramify_own", F.unhex(F.md5(text)))
+    same = docs["doc_id"].cast("long").eqNullSafe(stay["__ramify_id"]) & (F.col("__ramify_own") == stay["__ramify_key"])
+    one = keyed.where(~blank).join(stay, same, "left_semi").dropDuplicates(["doc_id", "__ramify_own"])
+    return one.drop("__ramify_own").unionByName(docs.where(blank))

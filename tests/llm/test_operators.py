@@ -377,6 +377,18 @@ def test_near_duplicates(docs, rows):
     assert [r[0] for r in stay.where("doc_id is not null").select("doc_id").orderBy("doc_id").collect()] == sorted(want)
 
 
+def test_near_duplicates_of_one_id(spark):
+    """Texts are judged one by one: none vanishes because another of its doc_id, or none at all, is a duplicate."""
+    words = lambda k, n=40: " ".join(f"t{k}w{j}" for j in range(n))
+    rows = [(1, words(1)), (1, words(2)), (2, words(3)), (3, words(1) + " more"), (3, words(4)), (None, words(5)), (None, words(5)), (None, words(2) + " x"), (6, words(6)), (6, words(6)), (7, ""), (7, ""), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("size", F.lit(1))
+    stay = sorted(((r["doc_id"], r["text"]) for r in neardup.drop_near_duplicates(docs).collect()), key=repr)
+    assert stay == sorted([(1, words(1)), (1, words(2)), (2, words(3)), (3, words(4)), (None, words(5)), (6, words(6)), (7, ""), (7, ""), (None, " ")], key=repr)
+    out = neardup.near_duplicates(docs)
+    assert got(out.where("doc_id = 3"), "component_id", "kept") == [(1, False), (3, True)]
+    assert got(out.where("doc_id is null and n_shingles > 1"), "component_id") == [(1,), (None,), (None,)]
+
+
 def test_near_duplicate_chains(spark):
     """Texts that drift: neighbours are linked, distant ones are not; groups must follow the chain."""
     import random
