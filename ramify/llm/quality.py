@@ -2,19 +2,23 @@
 
 A document's histogram over character classes and its histogram over each language's common words (with a bin for all other words)
 are compared with the references by the Jensen-Shannon distance (base 2, the root of the
-divergence). The references are the sums of these histograms over all documents of a language. A document passes
-if it is near to some language in both. The greatest distance allowed rises as documents get shorter (WORD_LIMITS, CHAR_LIMITS);
+divergence). A document passes if it is near to one language in both. The greatest distance allowed rises as documents get shorter (WORD_LIMITS, CHAR_LIMITS);
 below the last length labelled clean documents and junk overlap, and the histogram doesn't count.
 
+The references are the sums of these histograms over the documents of a language that are within the limits of
+a first reference, the sum over all its documents. So junk has no part in what it is compared with, unless it is most of the language's text.
+
 The text is read once: counts go to a small table, references are summed from it (bounded: languages
-times bins), and distances are computed from it by DataFrame functions.
+times bins), and distances are computed from it by DataFrame functions, shares and entropies once a histogram.
 
 Edge cases: null or empty text has no words and fails. Languages without a word list here don't make a
-reference; their documents are compared with those that there are. If no language has a document, nothing is compared.
+reference; their documents are compared with those that there are. If no language has a document, nothing is compared,
+the base rules alone judge and the distances are null.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,27 +139,45 @@ def _tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return tidy(_measure, _hashes, _bins)(batches)
 
 
-def _distance(own: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance (base 2) of a histogram of counts and a reference of shares."""
-    ref = F.array(*map(F.lit, reference))
-    total = F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x)
+def _negentropy(shares: Column) -> Column:
+    return F.aggregate(shares, F.lit(0.0), lambda a, x: a + F.when(x > 0, x * F.log2(x)).otherwise(F.lit(0.0)))
+
+
+def _shares(own: Column, total: Column) -> Column:
+    return F.when(total > 0, F.transform(own, lambda n: n / F.nullif(total, F.lit(0))))
 
-    def part(p: Column, m: Column) -> Column:
-        return F.when(p > 0, p * F.log2(p / m)).otherwise(F.lit(0.0))
 
-    terms = F.zip_with(own, ref, lambda n, q: part(n / total, (n / total + q) / 2) + part(q, (n / total + q) / 2))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))
+def _distance(shares: Column, reference: list[float], negentropy: Column) -> Column:
+    """Jensen-Shannon distance (base 2) of a histogram's shares, whose negative entropy is given, and a reference's."""
+    mean = _negentropy(F.zip_with(shares, F.array(*map(F.lit, reference)), lambda p, q: (p + q) / 2))
+    of_reference = sum(q * math.log2(q) for q in reference if q > 0)
+    return F.when(shares.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), (negentropy + of_reference) / 2 - mean)))
 
 
-def _within(length: Column, distance: Column, limits: tuple[tuple[int, float], ...]) -> Column:
-    out = F.lit(True)
+def _limit(length: Column, limits: tuple[tuple[int, float], ...]) -> Column:
+    out = F.lit(None).cast("double")
     for least, most in reversed(limits):
-        out = F.when(length >= least, distance <= most).otherwise(out)
+        out = F.when(length >= least, F.lit(most)).otherwise(out)
     return out
 
 
+def _with_shares(counts: DataFrame) -> DataFrame:
+    size, n = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x), F.col("n_words")
+    shares = {f"w{k}": _shares(F.slice("words", int(_STARTS[k]) + 1, _WIDTHS[k]), n) for k in range(len(LANGUAGES))}
+    out = counts.withColumn("size", size).withColumns({"c": _shares(F.col("chars"), F.col("size"))} | shares)
+    return out.withColumns({f"{x}_neg": _negentropy(F.col(x)) for x in ("c", *shares)})
+
+
+def _nearness(name: str, reference: tuple[list[float], list[float]]) -> Column:
+    """struct<over, char_distance, word_distance>; over: the greater of the two distances in terms of the limits, which is 1 at most for a good document."""
+    w = f"w{LANGUAGES.index(name)}"
+    chars, words = _distance(F.col("c"), reference[0], F.col("c_neg")), _distance(F.col(w), reference[1], F.col(f"{w}_neg"))
+    ratio = lambda d, length, limits: F.coalesce(d / _limit(F.col(length), limits), F.lit(0.0))
+    return F.struct(F.greatest(ratio(chars, "size", CHAR_LIMITS), ratio(words, "n_words", WORD_LIMITS)).alias("over"), chars.alias("char_distance"), words.alias("word_distance"))
+
+
 def references(counts: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """Per language the shares of its character classes and of its common words, over all its documents."""
+    """Per language the shares of its character classes and of its common words, over the documents of counts."""
     n_bins = int(_STARTS[-1])
     sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.col("words")[i]).alias(f"w{i}") for i in range(n_bins)]
     out = {}
@@ -168,26 +190,27 @@ def references(counts: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     return out
 
 
+def trimmed_references(counts: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+    """References over the documents that are within the limits of a first reference, that over all documents of their language."""
+    first = references(counts)
+    if not first:
+        return {}
+    own = F.coalesce(*(F.when(F.col("lang") == name, _nearness(name, ref)) for name, ref in sorted(first.items())))
+    return first | references(_with_shares(counts).withColumn("own", own).where("own.over <= 1"))
+
+
 def quality_report(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept, char_distance and word_distance (to the nearest language)."""
+    """doc_id, the base counts, base_failed, kept, char_distance and word_distance (to the language that the document is nearest to)."""
     spark = docs.sparkSession
     ship(spark)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text_or_empty().alias("text"))
     counts = Scratch(spark).put(own.mapInArrow(_tidied, _SCHEMA), "counts")
-    chars, words = [], []
-    for name, (ref_chars, ref_words) in sorted(references(counts).items()):
-        k = LANGUAGES.index(name)
-        chars.append(_distance(F.col("chars"), ref_chars))
-        words.append(_distance(F.slice("words", int(_STARTS[k]) + 1, _WIDTHS[k]), ref_words))
-    nearest = lambda xs: F.lit(0.0) if not xs else xs[0] if len(xs) == 1 else F.least(*xs)
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    size = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
-    measured = counts.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), size.alias("size"),
-        F.when(size > 0, nearest(chars)).alias("char_distance"), F.when(F.col("n_words") > 0, nearest(words)).alias("word_distance"),
-    )
-    good = _within(F.col("size"), F.col("char_distance"), CHAR_LIMITS) & _within(F.col("n_words"), F.col("word_distance"), WORD_LIMITS)
-    return measured.withColumn("kept", ~F.col("base_failed") & good).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"
+    near = [_nearness(*x) for x in sorted(trimmed_references(counts).items())]
+    nearest = F.array_min(F.array(*near)) if near else F.lit(None).cast("struct<over:double,char_distance:double,word_distance:double>")
+    judged = _with_shares(counts).withColumns({"base_failed": base_failed, "nearest": nearest})
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        (~F.col("base_failed") & (F.coalesce("nearest.over", F.lit(0.0)) <= 1)).alias("kept"), "nearest.char_distance", "nearest.word_distance",
     )

@@ -71,7 +71,8 @@ def test_quality_distance(spark):
     p = [x / 8 for x in own]
     m = [(a + b) / 2 for a, b in zip(p, ref)]
     kl = lambda x: sum(a * math.log2(a / c) for a, c in zip(x, m) if a)
-    df = spark.createDataFrame([(own,)], "h array<long>").select(quality._distance(F.col("h"), ref).alias("d"))
+    shares = quality._shares(F.col("h"), F.lit(8))
+    df = spark.createDataFrame([(own,)], "h array<long>").select(quality._distance(shares, ref, quality._negentropy(shares)).alias("d"))
     assert df.first()["d"] == pytest.approx(math.sqrt((kl(p) + kl(ref)) / 2), abs=1e-12)
 
 
@@ -89,6 +90,87 @@ def test_quality_of_short_documents(spark):
     assert kept == {*range(60), 145, 170, 190, 230}
 
 
+def brute_quality(rows):
+    """{doc_id: (kept, char distance, word distance)} of (doc_id, lang, text) rows by plain loops."""
+    import math
+
+    classes = lambda t: [sum(f(c) for c in t) for f in (
+        lambda c: "a" <= c <= "z", lambda c: "A" <= c <= "Z", lambda c: ord(c) > 127, lambda c: "0" <= c <= "9", lambda c: c in " \t", lambda c: c in "\n\r\x0b\x0c",
+        lambda c: c in ".,;:!?'\"()-", lambda c: c in "#*$%&|<>", lambda c: ord(c) < 128 and not (c.isalnum() or c in " \t\n\r\x0b\x0c.,;:!?'\"()-#*$%&|<>"))]
+
+    def words(t, language):
+        common = quality.COMMON_WORDS[language]
+        out = [0] * (len(common) + 1)
+        for w in WORD.findall(t):
+            w = w.strip(".,;:!?'\"()-").lower()
+            out[common.index(w) if w in common else -1] += 1
+        return out
+
+    def js(n, ref):
+        p = [x / sum(n) for x in n]
+        kl = lambda x: sum(a * math.log2(2 * a / (b + c)) for a, b, c in zip(x, p, ref) if a)
+        return math.sqrt(max(0.0, (kl(p) + kl(ref)) / 2))
+
+    limit = lambda n, limits: next((most for least, most in limits if n >= least), None)
+    table = {i: (lang, t, classes(t), {x: words(t, x) for x in quality.LANGUAGES}, len(WORD.findall(t))) for i, lang, t in rows}
+
+    def nearness(i, lang, ref):
+        _, t, c, w, n = table[i]
+        a, b = js(c, ref[0]) if t else None, js(w[lang], ref[1]) if n else None
+        over = max(x / y if (y := limit(k, limits)) else 0.0 for x, k, limits in ((a, len(t), quality.CHAR_LIMITS), (b, n, quality.WORD_LIMITS)))
+        return over, a, b
+
+    def sums(ids):
+        refs = {}
+        for lang in quality.LANGUAGES:
+            own = [i for i in ids if table[i][0] == lang]
+            c, w = ([sum(x) for x in zip(*(f(i) for i in own))] for f in (lambda i: table[i][2], lambda i, lang=lang: table[i][3][lang]))
+            if sum(c) and sum(w):
+                refs[lang] = [x / sum(c) for x in c], [x / sum(w) for x in w]
+        return refs
+
+    refs = sums(table)
+    refs |= sums([i for i, x in table.items() if x[0] in refs and nearness(i, x[0], refs[x[0]])[0] <= 1])
+    out = {}
+    for i in table:
+        over, a, b = min(nearness(i, lang, ref) for lang, ref in refs.items())
+        out[i] = over <= 1, a, b
+    return out
+
+
+def test_quality_verdict(spark):
+    rows = [(r["doc_id"], r["lang"], r["text"] or "") for r in spark.read.parquet(DOCS).collect()]
+    rows += [(9000 + k, ("en", "xx", None)[k % 3], t or "") for k, (_, t) in enumerate(ODD)]
+    own = quality.quality_report(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()
+    want = brute_quality(rows)
+    near = lambda x, y: x is y or None not in (x, y) and abs(x - y) < 1e-6
+    assert len(own) == len(rows)
+    for r in own:
+        kept, chars, words = want[r["doc_id"]]
+        assert r["kept"] == (kept and not r["base_failed"]) and near(r["char_distance"], chars) and near(r["word_distance"], words), r
+
+
+def test_quality_languages_are_paired(spark):
+    """Characters near to one language and words near to another don't make a good document."""
+    import random
+
+    rng = random.Random(2)
+    german = lambda: " ".join(rng.choice(["der", "die", "und", "in", "äöü", "straße", "größe"]) for _ in range(300))
+    english = lambda: " ".join(rng.choice(["the", "of", "and", "to", "HOUSE", "GARDEN", "12 34"]) for _ in range(300))
+    mixed = " ".join(rng.choice(["the", "of", "and", "to", "äöü", "straße", "größe"]) for _ in range(300))
+    rows = [(k, "de", german()) for k in range(50)] + [(100 + k, "en", english()) for k in range(50)] + [(200, "en", mixed)]
+    out = {r["doc_id"]: r["kept"] for r in quality.quality_report(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    assert not out[200] and all(out[k] for k in range(50)) and all(out[100 + k] for k in range(50))
+
+
+def test_quality_on_rows_that_set_no_limit(spark):
+    """The limits were read off sf0.1; here they are held against the labels of another table."""
+    base = "/root/testdata/sf0.01/"
+    out = quality.quality_report(spark.read.parquet(base + "documents.parquet")).join(spark.read.parquet(base + "labels.parquet"), "doc_id").where("n_words >= 60")
+    n = {(r["quality"], r["kept"]): r["count"] for r in out.groupBy("quality", "kept").count().collect()}
+    assert n.get((1, False), 0) <= 0.02 * n[1, True] and n.get((0, True), 0) <= 0.1 * n[0, False]
+
+
 def brute_secrets(t):
     spans = []
     assign = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
