@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,16 +22,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master) is not None
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers started from now on import this package."""
+    """Let Python workers started from now on import this package: by path where they run on the driver's machine, else as an archive."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "")
-    if root not in have.split(os.pathsep):
-        env["PYTHONPATH"] = root + (os.pathsep + have if have else "")
+    context = spark.sparkContext
+    if is_local(spark):
+        have = context.environment.get("PYTHONPATH", "")
+        if root not in have.split(os.pathsep):
+            context.environment["PYTHONPATH"] = root + (os.pathsep + have if have else "")
+    elif context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        archive = os.path.join(tempfile.mkdtemp(prefix="ramify-"), "ramify.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, names in os.walk(os.path.join(root, "ramify")):
+                for name in names:
+                    if name.endswith(".py"):
+                        out.write(path := os.path.join(folder, name), os.path.relpath(path, root))
+        context.addPyFile(archive)  # read by the executors from the driver
+
+
+_shipped: set[str] = set()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds, in whatever store it is; none if it isn't there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in store.listStatus(target)] if store.exists(target) else []
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -41,8 +68,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables written to the folder that driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (a local
-    test session) a temporary one is made. A table written here survives lost executors and cuts
+    The folder is the session's ``spark.checkpoint.dir``. Only a local session, whose executors are the driver itself, may do without; others
+    fail, since each machine would write to a folder of its own. A table written here survives lost executors and cuts
     the lineage. Folders go when the driver ends, since a returned DataFrame may still read them.
     """
 
@@ -50,10 +77,12 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not is_local(spark):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="ramify-")
         self.path = f"{base.rstrip('/')}/ramify-{uuid.uuid4().hex}"
         self.count = 0
-        atexit.register(_delete, spark, self.path)
+        atexit.register(delete, spark, self.path)
 
     def put(self, df: DataFrame, name: str = "t", rows_per_batch: int = 1000) -> DataFrame:
         """Write df, return a DataFrame that reads what was written. rows_per_batch: of the Arrow batches meanwhile, which bounds a worker's memory."""

@@ -569,6 +569,32 @@ def test_lines(docs, rows, batches):
     assert got(linededup.dedup_report(docs, batches), "doc_id", "n_lines", "n_dropped", "kept_sha256") == sorted(brute_lines(rows), key=repr)
 
 
+def test_runs_go_on_in_another_session(spark, tmp_path, rows):
+    """Two sets of documents added under one path, the second in a session that knows the path alone; its plan neither moves nor sorts a run."""
+    store = f"file://{tmp_path}/runs"
+    real = [(i, t) for i, t in rows if i is not None and i < 9000]
+    half = len(real) // 2
+    frame = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    linededup.dedup_report(frame(real[:half]), store=store)
+    other = spark.newSession()
+    second = linededup.dedup_report(other.createDataFrame(real[half:], "doc_id long, text string"), store=store)
+    want = {r[0]: r for r in brute_lines(real)}
+    assert got(second, "doc_id", "n_lines", "n_dropped", "kept_sha256") == sorted((want[i] for i, _ in real[half:]), key=repr)
+    third = spark.newSession()
+    runs = linededup.LevelledRuns(third, store)
+    batch = linededup.line_hashes(third.createDataFrame(real, "doc_id long, text string")).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep"))
+    assert 1 <= len(runs.runs()) <= len(runs.levels) and runs.number == 6
+    with linededup._sorted_runs(third):
+        plan = runs.unsettled(batch)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    for k, line in enumerate(lines):
+        if "FileScan parquet" in line and "ramify_" in line:
+            above = [x for x in lines[max(0, k - 4) : k] if "Exchange" in x or " Sort " in x]
+            assert "Bucketed: true" in line and not above, plan
+    assert sum("Bucketed: true" in x for x in lines) == len(runs.runs())
+    runs.close()
+
+
 def test_dedup_lines_keeps_columns(docs, rows):
     out = linededup.dedup_lines(docs)
     assert out.columns == docs.columns
