@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -108,7 +110,7 @@ def ids_and_text(docs: DataFrame) -> DataFrame:
 
 
 def tidy(run: Callable[[Iterator], Iterator], *caches: dict) -> Callable[[Iterator], Iterator]:
-    """run, after which the caches are emptied: a worker lives on for other tasks, of whatever query."""
+    """run, after which the caches are emptied and free memory goes back: a worker lives on for other tasks, of whatever query."""
 
     def wrapped(batches: Iterator) -> Iterator:
         try:
@@ -116,10 +118,26 @@ def tidy(run: Callable[[Iterator], Iterator], *caches: dict) -> Callable[[Iterat
         finally:
             for cache in caches:
                 cache.clear()
+            give_back()
 
     return wrapped
 
 
+def give_back() -> None:
+    """Return what the allocators hold without use to the system, where that can be done."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
 def slices(batch: pa.RecordBatch, column: int, max_bytes: int = 6_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in consecutive parts of at most max_bytes of text each, or of one row."""
     import numpy as np

@@ -28,7 +28,10 @@ WINDOW = 4096
 END_ID = 2
 BLOCK = 1024
 MAX_BROADCAST_PARTITIONS = 1 << 18  # rows of 24 bytes
-_CACHE_WORDS = 1_000_000
+SLICE_BYTES = 6_000_000
+CACHE_BYTES = 96_000_000
+PART_WORDS = 400_000
+CALL_WORDS = 2048
 _SIGNS = b'.,;:!?|%*#$&()[]{}/+=@^~"<>\\_-'  # not the apostrophe, which may belong to letters after it
 
 
@@ -43,6 +46,8 @@ def _encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
     """Ids of each text (UTF-8) as little-endian 16-bit integers, by whitespace-separated words that are kept in a cache.
 
     No token of the vocabulary crosses white space, so the words of a text can be encoded one by one.
+    A text is split PART_WORDS words at a time, a call encodes CALL_WORDS at most, and the cache begins
+    anew beyond CACHE_BYTES: what a worker holds beside its rows is bounded.
     """
     import os
 
@@ -56,22 +61,26 @@ def _encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
     encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
     ends = np.zeros(tokenizer.get_vocab_size(), bool)
     ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+    held = 0
 
     def one_by_one(words: list[bytes]) -> None:
-        for w, e in zip(words, encode([x.decode() for x in words], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u2").tobytes()
+        for at in range(0, len(words), CALL_WORDS):
+            part = words[at : at + CALL_WORDS]
+            for w, e in zip(part, encode([x.decode() for x in part], add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u2").tobytes()
 
     def together(words: list[bytes]) -> None:
-        """Words of letters only, many in one call: each ends with the one token that marks a word's end."""
-        runs = [words[at : at + 256] for at in range(0, len(words), 256)]
-        for run, e in zip(runs, encode([b" ".join(r).decode() for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u2")
-            cuts = (np.flatnonzero(ends[ids]) + 1).tolist()
-            if len(cuts) != len(run):  # a letter that isn't one once it is lower-cased
-                one_by_one(run)
-                continue
-            raw = ids.tobytes()
-            known.update((w, raw[2 * a : 2 * b]) for w, a, b in zip(run, [0, *cuts], cuts))  # noqa: B905
+        """Words of letters only, many in one text: each ends with the one token that marks a word's end."""
+        for first in range(0, len(words), 8 * CALL_WORDS):
+            runs = [words[at : at + 256] for at in range(first, min(first + 8 * CALL_WORDS, len(words)), 256)]
+            for run, e in zip(runs, encode([b" ".join(r).decode() for r in runs], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u2")
+                cuts = (np.flatnonzero(ends[ids]) + 1).tolist()
+                if len(cuts) != len(run):  # a letter that isn't one once it is lower-cased
+                    one_by_one(run)
+                    continue
+                raw = ids.tobytes()
+                known.update((w, raw[2 * a : 2 * b]) for w, a, b in zip(run, [0, *cuts], cuts))  # noqa: B905
 
     def learn(new: set[bytes]) -> None:
         letters, tails, others, ended = set(), set(), [], []
@@ -88,16 +97,42 @@ def _encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
         one_by_one(others + list(tails.difference(known)))
         known.update((w, known[core] + known[tail]) for w, core, tail in ended)
 
-    def run(raw: list[bytes]) -> list[bytes]:
-        # lower case for ASCII saves entries; not where a special token's string would come about
-        split = [(x if b"<|" in x else x.lower()).split() for x in raw]
+    def several(split: list[list[bytes]]) -> list[bytes]:
+        nonlocal held
         new = set(chain.from_iterable(split)).difference(known)
-        if len(known) + len(new) > _CACHE_WORDS:
-            known.clear()
-            new = set(chain.from_iterable(split))
-        learn(new)
+        if new:
+            size = sum(map(len, new)) + 250 * len(new)  # two objects and an entry of the dictionary a word
+            if known and held + size > CACHE_BYTES:
+                known.clear()
+                new = set(chain.from_iterable(split))
+            held = size + (held if known else 0)
+            learn(new)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
+    def run(raw: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        split: list[list[bytes]] = []
+        n = 0
+        for x in raw:
+            # lower case for ASCII saves entries; not where a special token's string would come about
+            rest = x if b"<|" in x else x.lower()
+            words = rest.split(None, PART_WORDS)
+            if len(words) <= PART_WORDS:
+                split.append(words)
+                n += len(words)
+                if n >= PART_WORDS:
+                    out += several(split)
+                    split, n = [], 0
+                continue
+            out += several(split)
+            split, n, ids = [], 0, []
+            while words:  # a text of more words than are held at once
+                rest = words.pop() if len(words) > PART_WORDS else b""
+                ids += several([words])
+                words = rest.split(None, PART_WORDS)
+            out.append(b"".join(ids))
+        return out + several(split)
+
     run.known = known  # type: ignore[attr-defined]
     return run
 
@@ -109,7 +144,7 @@ def _tokenize(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
         part, before, encode = TaskContext.get().partitionId(), 0, _encoder(path)
         tail = np.array([end], "<u2").tobytes()
         for batch in batches:
-            for piece in slices(batch, 1, 12_000_000):
+            for piece in slices(batch, 1, SLICE_BYTES):
                 ids = [x + tail for x in encode(piece.column(1).cast(pa.binary()).to_pylist())]
                 n = np.array([len(x) // 2 for x in ids], np.int64)
                 start = before + np.cumsum(n) - n
