@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ramify.llm.common import Scratch, ids_and_text, ship, text_or_empty
+from ramify.llm.common import Scratch, ids_and_text, ship, text_or_empty, tidy
 
 SAMPLE_PER_LABEL = 4000
 MAX_TERMS = 3000
@@ -48,16 +48,34 @@ _FOLD = {ord(k): v for k, v in LOOKALIKES.items()} | {0xFEE0 + c: chr(c) for c i
 _FOLD |= {c: None for c in (0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD)}
 _ODD = re.compile("[" + "".join(map(chr, _FOLD)) + "]")
 _SUBSTITUTES = str.maketrans(SUBSTITUTES)
+_STANDING_IN = re.compile(r"[0-9@$!]+")
+_REST = re.compile(r"[^\W_]*(?:[@$!]+[^\W_]*)*")
 _MIXED = re.compile(r"[^\W\d_]*(?:[0-9@$!]+[^\W\d_]+)+[0-9$!]*|[^\W\d_]+[0-9$]+")
 _APART = re.compile(r"[\W_]+")
 
 
+def unmixed(low: str) -> str:
+    """Digits and signs inside words replaced by the letters they stand for. Only runs of such characters and letters are searched."""
+    out, at = [], 0
+    for m in _STANDING_IN.finditer(low):
+        begin, end = m.span()
+        if begin < at:
+            continue  # in the run before
+        while begin > at and low[begin - 1].isalnum():
+            begin -= 1
+        end = _REST.match(low, end).end()  # type: ignore[union-attr]
+        if end - begin > len(m[0]):
+            out += [low[at:begin], _MIXED.sub(lambda x: x[0].translate(_SUBSTITUTES), low[begin:end])]
+            at = end
+    return "".join(out) + low[at:] if out else low
+
+
 def fold(text: str) -> str:
     """Words, lower-cased and folded, each with a space before it, and one at the end."""
     low = text.lower()
     if not low.isascii() and _ODD.search(low):
         low = low.translate(_FOLD).lower()
-    return " " + _APART.sub(" ", _MIXED.sub(lambda m: m[0].translate(_SUBSTITUTES), low)).strip() + " "
+    return " " + _APART.sub(" ", unmixed(low)).strip() + " "
 
 
 @dataclass(frozen=True)
@@ -233,8 +251,8 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     names = docs.columns
 
     @F.arrow_udf("double")
-    def toxicity(texts):  # noqa: ANN001, ANN202
-        return pa.array([score(t.as_py(), lexicon) for t in texts], pa.float64())
+    def toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return tidy(lambda texts: (pa.array([score(t.as_py(), lexicon) for t in batch], pa.float64()) for batch in texts))(batches)
 
     return docs.where(toxicity(text_or_empty()) < THRESHOLD).select(*names)
 
