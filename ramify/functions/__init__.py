@@ -30,6 +30,13 @@ def child_id(vertex: Column, number: Column) -> Column:
     return F.concat(vertex, F.lit(SEPARATOR), number.cast("string"))
 
 
+def checked_id(vertex: Column) -> Column:
+    """A vertex's id as a string; one that holds the separator can't be told from a sub-vertex's and fails."""
+    text = vertex.cast("string")
+    message = F.concat(F.lit(f"the id of a vertex to be split holds {SEPARATOR!r}: "), text)
+    return F.when(F.contains(text, F.lit(SEPARATOR)), F.raise_error(message).cast("string")).otherwise(text)
+
+
 def root_of(vertex: Column) -> Column:
     """The id without any suffix."""
     return F.substring_index(vertex, SEPARATOR, 1)

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ramify.functions import root_of
+from ramify.operators.components import star_components
 from ramify.operators.degrees import degrees, skewed
-from ramify.operators.graph import PropertyGraph, both_orientations, endpoints, oriented
+from ramify.operators.graph import PropertyGraph, both_orientations, endpoints
 from ramify.operators.split import ALPHA, LEVEL, THRESHOLD, SplitGraph, merge, tree_split
-from ramify.plans.checkpoint import cut
+from ramify.plans.checkpoint import cut, drop
 from ramify.plans.iterate import gather_sum_apply, pregel
 
 UNBOUNDED = 1_000_000
@@ -25,11 +26,17 @@ def count_degrees(graph: PropertyGraph) -> DataFrame:
 
 def split_degrees(graph: PropertyGraph, alpha: int = ALPHA, level: int = LEVEL, threshold: float = THRESHOLD, adaptive: bool = True) -> DataFrame:
     """Degrees counted on sub-vertices and merged."""
+    graph = settled(graph)
     split = split_at(graph, degrees(graph), alpha, level, threshold, adaptive)
     partial = endpoints(split.edges).groupBy("id").agg(F.count("*").alias("degree"))
     return merge(partial, F.sum("degree").alias("degree"))
 
 
+def settled(graph: PropertyGraph) -> PropertyGraph:
+    """The graph with its edges as a table, so that what they come from is evaluated once."""
+    return PropertyGraph.from_edges(cut(graph.edges))
+
+
 def split_at(graph: PropertyGraph, of: DataFrame, alpha: int, level: int, threshold: float, adaptive: bool = True) -> SplitGraph:
     return tree_split(graph, skewed(of, threshold), alpha, level, threshold, adaptive)
 
@@ -41,8 +48,16 @@ def _numeric(graph: PropertyGraph) -> PropertyGraph:
     return PropertyGraph(graph.vertices.select("id", F.col("id").cast("long").alias("value")), graph.edges.select("src", "dst"))
 
 
-def connected_components(graph: PropertyGraph, max_iterations: int = UNBOUNDED) -> DataFrame:
-    """(id, component): the least id within max_iterations hops, edges taken both ways."""
+def connected_components(graph: PropertyGraph, max_iterations: int | None = None) -> DataFrame:
+    """(id, component): the least id within max_iterations hops, edges taken both ways.
+
+    Without a bound the component's least id, by contraction to stars: rounds don't grow with the longest path.
+    """
+    if max_iterations is None:
+        numbered = _numeric(graph)
+        found = star_components(graph.edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")))
+        joined = numbered.vertices.join(found.withColumnRenamed("id", "value"), "value", "left")
+        return joined.select("id", F.coalesce("component", "value").alias("component"))
     start = _numeric(graph).undirected()
     done = pregel(start, lambda value, _: value, F.min, lambda value, msg, _: F.least(value, msg), max_iterations)
     return done.vertices.select("id", F.col("value").alias("component"))
@@ -60,17 +75,17 @@ def split_connected_components(graph: PropertyGraph, max_iterations: int = UNBOU
     A hub's minimum reaches all its sub-vertices within the superstep, so hops count as in the plain graph.
     """
     split = split_at(graph, degrees(graph), alpha, level, threshold)
-    edges = both_orientations(split.edges.select("src", "dst")).persist()
+    edges = cut(both_orientations(split.edges.select("src", "dst")))
     state = split.vertices.select("root").distinct().select(F.col("root").alias("id"), F.col("root").cast("long").alias("component"), F.lit(True).alias("changed"))
     for _ in range(max_iterations):
         sent = split.propagate(state.where("changed")).select(F.col("id").alias("src"), "component")
         partial = edges.join(sent, "src").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("low"))
         merged = merge(partial, F.min("low").alias("low"))
         new = F.least("component", "low")
-        state = cut(state.join(merged, "id", "left").select("id", new.alias("component"), (new < F.col("component")).alias("changed")))
+        state = cut(state.join(merged, "id", "left").select("id", new.alias("component"), (new < F.col("component")).alias("changed")), instead_of=state)
         if state.where("changed").isEmpty():
             break
-    edges.unpersist()
+    drop(edges)
     return state.select("id", "component")
 
 
@@ -78,12 +93,12 @@ def split_connected_components(graph: PropertyGraph, max_iterations: int = UNBOU
 
 
 def _by_degree(edges: DataFrame) -> DataFrame:
-    """The simple graph's edges, each once, from the end of lower (degree, id) to that of higher: a hub has few edges out."""
-    simple = oriented(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))).where("src <> dst")
+    """The simple graph's edges, each once, from the end of lower (degree, id) to that of higher: a hub has few edges out. A table, as it is read several times."""
+    simple = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     of = endpoints(simple).groupBy("id").agg(F.count("*").alias("d"))
     ranked = simple.join(of.select(F.col("id").alias("src"), F.col("d").alias("src_d")), "src").join(of.select(F.col("id").alias("dst"), F.col("d").alias("dst_d")), "dst")
-    first = (F.col("src_d") < F.col("dst_d")) | ((F.col("src_d") == F.col("dst_d")) & (F.col("src") < F.col("dst")))
-    return ranked.select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("b"))
+    first = F.col("src_d") <= F.col("dst_d")
+    return cut(ranked.select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("b")))
 
 
 def list_triangles(edges: DataFrame) -> DataFrame:
@@ -107,9 +122,9 @@ def triangle_count(graph: PropertyGraph, multigraph: bool = False) -> DataFrame:
 
 
 def triangle_count_gathered(graph: PropertyGraph) -> DataFrame:
-    """One row (triangles) by gather-sum-apply: edges lead from the higher to the lower id; each vertex gathers its higher
-    neighbours, forwards them down, and closing edges look the count up. Loops are dropped."""
-    down = oriented(graph.edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))).where("src <> dst")
+    """One row (triangles) by gather-sum-apply: edges lead from the higher to the lower (degree, id); each vertex gathers its higher
+    neighbours, of which a hub has few, forwards them down, and closing edges look the count up. Loops are dropped."""
+    down = _by_degree(graph.edges).select(F.col("b").alias("src"), F.col("a").alias("dst"))
     high = down.select(F.col("dst").alias("v"), F.col("src").alias("w"))
     gathered = down.select(F.col("src").alias("v"), F.col("dst").alias("u")).join(high, "v").groupBy("u", "w").agg(F.count("*").alias("n"))
     closed = down.select(F.col("src").alias("w"), F.col("dst").alias("u")).join(gathered, ["u", "w"], "left")
@@ -119,9 +134,9 @@ def triangle_count_gathered(graph: PropertyGraph) -> DataFrame:
 def split_triangle_count(graph: PropertyGraph, alpha: int = ALPHA, level: int = LEVEL, threshold: float = THRESHOLD, mode: str = "symmetrised") -> DataFrame:
     """One row (triangles): both gathering rounds on sub-vertices, each merged by addition and propagated.
 
-    mode is that of the degrees which decide what to split.
+    Edges lead from the higher to the lower (degree, id). mode is that of the degrees which decide what to split.
     """
-    simple = PropertyGraph.from_edges(oriented(graph.edges).where("src <> dst"))
+    simple = PropertyGraph.from_edges(_by_degree(graph.edges).select(F.col("b").alias("src"), F.col("a").alias("dst")))
     split = split_at(simple, degrees(simple, mode), alpha, level, threshold)
     edges = split.rooted_edges().select("src", "dst", "src_root", "dst_root")
     partial = edges.groupBy(F.col("dst").alias("id"), F.col("src_root").alias("key")).agg(F.count("*").alias("n"))
@@ -143,15 +158,13 @@ def _adjacent(edges: DataFrame) -> DataFrame:
 def jaccard_edges(graph: PropertyGraph) -> DataFrame:
     """(src, dst, jaccard) per edge as given: shared neighbours by all neighbours of the two ends.
 
-    Shared neighbours are the triangles over an edge (each listed once), so no neighbour set is gathered anywhere.
+    Shared neighbours are the triangles over an edge (each listed once), so no neighbour set is gathered anywhere. Ids are of any type that has an order.
     """
     edges = graph.edges.select("src", "dst")
-    long_ids = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
-    around = _adjacent(long_ids).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"), F.max((F.col("src") == F.col("dst")).cast("int")).alias("loop"))
+    around = _adjacent(edges).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"), F.max((F.col("src") == F.col("dst")).cast("int")).alias("loop"))
     sides = F.array(*(F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")) for x, y in (("a", "b"), ("a", "c"), ("b", "c"))))
     shared = list_triangles(edges).select(F.inline(sides)).groupBy("x", "y").agg(F.count("*").alias("t"))
-    s, d = F.col("src").cast("long"), F.col("dst").cast("long")
-    out = edges.withColumns({"x": F.least(s, d), "y": F.greatest(s, d)}).join(shared, ["x", "y"], "left")
+    out = edges.withColumns({"x": F.least("src", "dst"), "y": F.greatest("src", "dst")}).join(shared, ["x", "y"], "left")
     out = out.join(around.select(F.col("id").alias("x"), F.col("d").alias("dx"), F.col("loop").alias("lx")), "x").join(around.select(F.col("id").alias("y"), F.col("d").alias("dy"), F.col("loop").alias("ly")), "y")
     both = F.coalesce("t", F.lit(0)) + F.col("lx") + F.col("ly")
     value = F.when(F.col("x") == F.col("y"), F.lit(1.0)).otherwise(both / (F.col("dx") + F.col("dy") - both))
@@ -231,13 +244,13 @@ def communities(graph: PropertyGraph, max_iterations: int = 30, delta: float = 0
 def split_communities(graph: PropertyGraph, max_iterations: int = 30, delta: float = 0.5, alpha: int = ALPHA, level: int = LEVEL, threshold: float = THRESHOLD) -> DataFrame:
     """As communities: sums and maxima by sub-vertex and label, merged to the root, where the decision is made once; then propagated."""
     split = split_at(graph, degrees(graph), alpha, level, threshold)
-    edges = both_orientations(split.edges.select("src", "dst", "value")).persist()
+    edges = cut(both_orientations(split.edges.select("src", "dst", "value")))
     state = cut(split.vertices.select(F.col("root").alias("id")).distinct().select("id", F.col("id").cast("long").alias("label"), F.lit(1.0).alias("score")))
     for step in range(1, max_iterations + 1):
         sent = edges.join(split.propagate(state).select(F.col("id").alias("src"), "label", "score"), "src")
         partial = sent.groupBy(F.col("dst").alias("id"), "label").agg(F.sum(F.col("score") * F.col("value")).alias("total"), F.max(F.col("score") * F.col("value")).alias("high"))
         merged = _best(merge(partial, F.sum("total").alias("total"), F.max("high").alias("high"), keys=("label",)))
         new = F.when(F.col("msg").isNotNull(), _decide(F.col("label"), F.col("msg"), delta, step)).otherwise(F.struct("label", "score"))
-        state = cut(state.join(merged, "id", "left").select("id", new.alias("v")).select("id", "v.label", "v.score"))
-    edges.unpersist()
+        state = cut(state.join(merged, "id", "left").select("id", new.alias("v")).select("id", "v.label", "v.score"), instead_of=state)
+    drop(edges)
     return state

@@ -1,7 +1,7 @@
 """Vertex splitting: hubs become sub-vertices, partial results are merged and propagated.
 
-A sub-vertex's id is its root's id with one suffix per level; ids are strings here and must not
-hold the separator. A split never changes a result, it only spreads a hub's edges over several keys.
+A sub-vertex's id is its root's id with one suffix per level; ids are strings here, and one that
+holds the separator fails. A split never changes a result, it only spreads a hub's edges over several keys.
 """
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ramify.functions import child_id, child_number, is_split, level_hash, parent_of, root_of
+from ramify.functions import checked_id, child_id, child_number, is_split, level_hash, parent_of, root_of
 from ramify.operators.degrees import weigh_edges
 from ramify.operators.graph import PropertyGraph
-from ramify.plans.checkpoint import cut
+from ramify.plans.checkpoint import cut, small
 
 ALPHA, LEVEL, THRESHOLD = 2, 4, 2
 
@@ -23,7 +23,7 @@ def alpha_split(graph: PropertyGraph, of: DataFrame, average: DataFrame, alpha:
     """Edges after a split in one level: of an edge whose source (or else target) has a degree above alpha times the average,
     that end is renamed by the hash of the other, unless the remainder is 0. The remainder has the hash's sign."""
     weighed = weigh_edges(graph, of).crossJoin(F.broadcast(average.limit(1)))  # one row
-    src, dst = F.col("src").cast("string"), F.col("dst").cast("string")
+    src, dst = checked_id(F.col("src")), checked_id(F.col("dst"))
     limit = F.col("average") * alpha
 
     def renamed(vertex: Column, other: Column) -> Column:
@@ -51,45 +51,66 @@ class SplitGraph:
         return self.vertices.select("id", "root").join(values.withColumnRenamed(root, "root"), "root")
 
 
-def _renamed_ends(edges: DataFrame, skewed: DataFrame, level: int, alpha: int) -> DataFrame:
+def _flagged(edges: DataFrame, hot: DataFrame) -> DataFrame:
+    """edges with src_hot and dst_hot. hot is a table of ids; it is broadcast if it is small, else both joins can be split where they are skewed."""
+    for end in ("src", "dst"):
+        edges = edges.drop(f"{end}_hot").join(small(hot).select(F.col("id").alias(end), F.lit(True).alias(f"{end}_hot")), end, "left")
+    return edges.withColumns({f"{end}_hot": F.coalesce(f"{end}_hot", F.lit(False)) for end in ("src", "dst")})
+
+
+def _renamed_ends(edges: DataFrame, level: int, alpha: int) -> DataFrame:
     """Both ends of the edges on this level: the source by the target, then the target by the source as it is now called."""
-    columns = edges.columns
-    flag = lambda end: skewed.select(F.col("id").alias(end), F.lit(True).alias("__hot"))
-    edges = edges.join(flag("src"), "src", "left").withColumn("src", F.when(F.col("__hot"), child_id(F.col("src"), child_number(F.col("dst"), level, alpha))).otherwise(F.col("src"))).drop("__hot")
-    edges = edges.join(flag("dst"), "dst", "left").withColumn("dst", F.when(F.col("__hot"), child_id(F.col("dst"), child_number(F.col("src"), level, alpha))).otherwise(F.col("dst")))
-    return edges.select(*columns)
+    src = F.when(F.col("src_hot"), child_id(F.col("src"), child_number(F.col("dst"), level, alpha))).otherwise(F.col("src"))
+    edges = edges.withColumn("src", src)
+    return edges.withColumn("dst", F.when(F.col("dst_hot"), child_id(F.col("dst"), child_number(F.col("src"), level, alpha))).otherwise(F.col("dst")))
+
+
+def distinct_degrees(edges: DataFrame) -> DataFrame:
+    """(id, degree) of the hot ends of flagged edges, over the distinct edges at them, taken with their reverses."""
+    at = F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("other"), F.col("src_hot").alias("hot")), F.struct(F.col("dst").alias("id"), F.col("src").alias("other"), F.col("dst_hot").alias("hot")))
+    return edges.select(F.inline(at)).where("hot").select("id", "other").distinct().groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def distinct_degrees(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Degrees of the given vertices over the distinct edges at them, taken with their reverses and counted by source."""
-    ids = vertices.select("id")
-    at = edges.select("src", "dst")
-    touching = at.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(at.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-    both = touching.select("src", "dst").unionByName(touching.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    return both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")).join(ids, "id", "left_semi")
+def _children(alpha: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(alpha - 1)), lambda k: child_id(F.col("id"), k))
 
 
 def tree_split(graph: PropertyGraph, skewed: DataFrame, alpha: int = ALPHA, level: int = LEVEL, threshold: float = THRESHOLD, adaptive: bool = True) -> SplitGraph:
     """Split the skewed vertices into alpha children each, level by level.
 
     adaptive: only children whose degree is still above the threshold go on; otherwise all do, on each level.
+    Only edges at vertices that are split go through the levels and are checked again: all others are written once.
     """
     rest = [c for c in graph.edges.columns if c not in ("src", "dst")]
-    edges = graph.edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), *rest)
-    vertices = graph.vertices.withColumn("id", F.col("id").cast("string"))
-    hot = cut(skewed.select(F.col("id").cast("string").alias("id")).distinct())
+    edges = graph.edges.select(checked_id(F.col("src")).alias("src"), checked_id(F.col("dst")).alias("dst"), *rest)
+    vertices = graph.vertices.withColumn("id", checked_id(F.col("id")))
+    names = [c for c in vertices.columns if c != "id"]
+    hot = cut(skewed.select(checked_id(F.col("id")).alias("id")).distinct())
+    if level == 0 or hot.isEmpty():
+        return SplitGraph(cut(vertices.withColumn("root", root_of(F.col("id")))), cut(edges))
+    if not adaptive:
+        ids, flagged = F.col("id"), cut(_flagged(edges, hot))
+        split = F.array(ids)
+        for i in range(level):
+            flagged = cut(_renamed_ends(flagged, i, alpha), instead_of=flagged)  # else each level's names are expressions over all before
+            split = F.flatten(F.transform(split, lambda x: F.transform(F.sequence(F.lit(0), F.lit(alpha - 1)), lambda k: child_id(x, k))))
+        vertices = vertices.join(small(hot).withColumn("__hot", F.lit(True)), "id", "left").select(F.explode(F.when(F.col("__hot"), split).otherwise(F.array(ids))).alias("id"), *names)
+        return SplitGraph(cut(vertices.withColumn("root", root_of(F.col("id")))), flagged.select("src", "dst", *rest))
+    done, flagged = [], cut(_flagged(edges, hot))
     for i in range(level):
-        if hot.isEmpty():
+        done.append(flagged.where("not (src_hot or dst_hot)").select("src", "dst", *rest))
+        renamed = cut(_renamed_ends(flagged.where("src_hot or dst_hot"), i, alpha))
+        vertices = vertices.join(small(hot).withColumn("__hot", F.lit(True)), "id", "left")
+        vertices = vertices.select(F.explode(F.when(F.col("__hot"), _children(alpha)).otherwise(F.array("id"))).alias("id"), *names)
+        hot = cut(distinct_degrees(renamed).where(F.col("degree") > threshold).select("id"))
+        if i + 1 == level or hot.isEmpty():
+            done.append(renamed.select("src", "dst", *rest))
             break
-        edges = cut(_renamed_ends(edges, hot, i, alpha))
-        names = [c for c in vertices.columns if c != "id"]
-        children = F.when(F.col("__hot"), F.transform(F.sequence(F.lit(0), F.lit(alpha - 1)), lambda k: child_id(F.col("id"), k))).otherwise(F.array("id"))
-        vertices = vertices.join(hot.withColumn("__hot", F.lit(True)), "id", "left").select(F.explode(children).alias("id"), *names)
-        hot = hot.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(alpha - 1)), lambda k: child_id(F.col("id"), k))).alias("id"))
-        if adaptive:
-            hot = distinct_degrees(edges, hot).where(F.col("degree") > threshold).select("id")
-        hot = cut(hot)
-    return SplitGraph(cut(vertices.withColumn("root", root_of(F.col("id")))), edges)
+        flagged = _flagged(renamed, hot)
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return SplitGraph(cut(vertices.withColumn("root", root_of(F.col("id")))), out)
 
 
 def merge(partials: DataFrame, *aggregates: Column, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -1,7 +1,7 @@
 """The message-passing loop and its gather-sum-apply front end.
 
 Each superstep is one declarative plan (edges joined with the frontier, messages aggregated by
-target, joined with the state), cut by a reliable checkpoint. The driver only sees whether
+target, joined with the state), written as a table that takes the place of the one before. The driver only sees whether
 anything has changed.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ramify.operators.graph import PropertyGraph
-from ramify.plans.checkpoint import cut
+from ramify.plans.checkpoint import cut, drop
 
 
 def pregel(
@@ -33,18 +33,18 @@ def pregel(
     "fixed": all send in each of max_iterations supersteps.
     """
     edges = graph.edges if "value" in graph.edges.columns else graph.edges.withColumn("value", F.lit(None).cast("double"))
-    edges = edges.select("src", "dst", F.col("value").alias("edge_value")).persist()
-    state = graph.vertices.select("id", "value", F.lit(True).alias("changed"))
+    edges = cut(edges.select("src", "dst", F.col("value").alias("edge_value")))
+    state = cut(graph.vertices.select("id", "value", F.lit(True).alias("changed")))
     for step in range(1, max_iterations + 1):
         frontier = state if until == "fixed" else state.where("changed")
         sent = edges.join(frontier.select(F.col("id").alias("src"), "value"), "src").select(F.col("dst").alias("id"), message(F.col("value"), F.col("edge_value")).alias("msg"))
         got = combine_frame(sent) if combine_frame else sent.groupBy("id").agg(combine(F.col("msg")).alias("msg"))
         joined = state.select("id", "value").join(got.select("id", "msg", F.lit(True).alias("hit")), "id", "left")
         new = F.when(F.col("hit"), apply(F.col("value"), F.col("msg"), step)).otherwise(F.col("value"))
-        state = cut(joined.select("id", new.alias("value"), (~new.eqNullSafe(F.col("value"))).alias("changed")))
+        state = cut(joined.select("id", new.alias("value"), (~new.eqNullSafe(F.col("value"))).alias("changed")), instead_of=state)
         if until == "no_change" and state.where("changed").isEmpty():
             break
-    edges.unpersist()
+    drop(edges)
     return PropertyGraph(state.select("id", "value"), graph.edges)
 
 

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from ramify.plans.queries import COMMUNITY_STEPS, HOPS, HUB
+from ramify.plans.queries import COMMUNITY_STEPS, COMPONENT_STEPS, HOPS, HUB
 
 _PAIRS = "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey"
-_RETURNED = " WHERE " + " AND ".join(f"{x}.l_returnflag = 'R' AND {x}.l_quantity >= 40" for x in "ab")
 _CUST_SUPP = "SELECT DISTINCT o_custkey AS src, 1000000 + l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
 _ORDER_CUST = "SELECT DISTINCT 10000000 + o_orderkey AS src, o_custkey AS dst FROM orders"
 _USER_TYPE = "SELECT DISTINCT CAST(user_id AS VARCHAR) AS src, event_type AS dst FROM events"
-_COPART, _SMALL = _PAIRS, _PAIRS + _RETURNED
+_COPART = _PAIRS
+#: More hops than any least label of the tables has to go.
+_ENOUGH = 16
 
 
 def _with(edges: str, rest: str, more: str = "") -> str:
     """e: the edges; s: both orientations; v: the vertices; d: the degrees."""
-    return f"""WITH RECURSIVE e AS ({edges}), s AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
+    return f"""WITH e AS MATERIALIZED ({edges}), s AS MATERIALIZED (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
 v AS (SELECT DISTINCT src AS id FROM s), d AS (SELECT src AS id, count(*) AS degree FROM s GROUP BY src){more} {rest}"""
 
 
@@ -26,11 +27,12 @@ _DEGREE = f"SELECT {_ID}, degree FROM d"
 
 
 def _reach(edges: str, along: str, hops: int | None) -> str:
-    if hops is None:
-        more = f", r AS (SELECT id, id AS label FROM v UNION SELECT {along}.dst, r.label FROM r JOIN {along} ON {along}.src = r.id)"
-    else:
-        more = f", r AS (SELECT id, id AS label, 0 AS k FROM v UNION SELECT {along}.dst, r.label, r.k + 1 FROM r JOIN {along} ON {along}.src = r.id WHERE r.k < {hops})"
-    return _with(edges, f"SELECT {_ID}, min(label) AS component FROM r GROUP BY id", more)
+    """Least labels, hop by hop."""
+    more = ", l0 AS (SELECT id, id AS label FROM v)"
+    for k in range(1, (hops or _ENOUGH) + 1):
+        more += f""", l{k} AS MATERIALIZED (SELECT o.id, least(o.label, coalesce(n.label, o.label)) AS label FROM l{k - 1} o
+LEFT JOIN (SELECT {along}.dst AS id, min(p.label) AS label FROM {along} JOIN l{k - 1} p ON p.id = {along}.src GROUP BY {along}.dst) n ON n.id = o.id)"""
+    return _with(edges, f"SELECT {_ID}, label AS component FROM l{hops or _ENOUGH}", more)
 
 
 def _jaccard(edges: str, of: str, names: tuple[str, str]) -> str:
@@ -45,10 +47,10 @@ def _community(steps: int, delta: float = 0.5, weight: float = 3.0) -> str:
     more = ", s0 AS (SELECT id, id AS label, CAST(1.0 AS DOUBLE) AS score FROM v)"
     for k in range(1, steps + 1):
         more += f""",
-m{k} AS (SELECT s.dst AS id, p.label, sum(p.score * {weight}) AS total, max(p.score * {weight}) AS high FROM s JOIN s{k - 1} p ON p.id = s.src GROUP BY s.dst, p.label),
+m{k} AS MATERIALIZED (SELECT s.dst AS id, p.label, sum(p.score * {weight}) AS total, max(p.score * {weight}) AS high FROM s JOIN s{k - 1} p ON p.id = s.src GROUP BY s.dst, p.label),
 b{k} AS (SELECT id, label, high FROM m{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY total DESC, label) = 1),
-s{k} AS (SELECT b.id, b.label, b.high - CASE WHEN b.label <> o.label THEN CAST({delta} AS DOUBLE) / {k} ELSE 0 END AS score FROM b{k} b JOIN s{k - 1} o ON o.id = b.id)"""
-    return _with(_SMALL, f"SELECT {_ID}, label FROM s{steps}", more)
+s{k} AS MATERIALIZED (SELECT b.id, b.label, b.high - CASE WHEN b.label <> o.label THEN CAST({delta} AS DOUBLE) / {k} ELSE 0 END AS score FROM b{k} b JOIN s{k - 1} o ON o.id = b.id)"""
+    return _with(_COPART, f"SELECT {_ID}, label FROM s{steps}", more)
 
 
 def _hash(x: str) -> str:
@@ -68,10 +70,10 @@ def oracle_sql() -> dict[str, str]:
     out = {
         "edge_scan": _with(_ORDER_CUST, f"SELECT {_SRC_DST} FROM e"),
         "edge_scan_user_type": _with(_USER_TYPE, "SELECT src, dst FROM e"),
-        "edge_scan_weighted": _with(_SMALL, f"SELECT {_SRC_DST}, CAST(3.0 AS DOUBLE) AS value FROM e"),
+        "edge_scan_weighted": _with(_COPART, f"SELECT {_SRC_DST}, CAST(3.0 AS DOUBLE) AS value FROM e"),
         "vertices_from_edges": _with(_ORDER_CUST, f"SELECT {_ID} FROM v"),
         "edge_endpoints": _with(_ORDER_CUST, "SELECT CAST(src AS VARCHAR) AS id FROM s"),
-        "edge_incidence": _with(_SMALL, "SELECT CAST(src AS VARCHAR) AS node, CAST(dst AS VARCHAR) AS neighbour, src AS edge_src FROM e UNION ALL SELECT CAST(dst AS VARCHAR), CAST(src AS VARCHAR), src FROM e"),
+        "edge_incidence": _with(_COPART, "SELECT CAST(src AS VARCHAR) AS node, CAST(dst AS VARCHAR) AS neighbour, src AS edge_src FROM e UNION ALL SELECT CAST(dst AS VARCHAR), CAST(src AS VARCHAR), src FROM e"),
         "undirected": _with(_COPART, f"SELECT {_SRC_DST} FROM s"),
         "orient_distinct": _with(_COPART, "SELECT CAST(dst AS VARCHAR) AS src, CAST(src AS VARCHAR) AS dst FROM e"),
         "number_of_vertices": _with(_COPART, "SELECT count(*) AS vertices FROM v"),
@@ -84,16 +86,16 @@ def oracle_sql() -> dict[str, str]:
         "weigh_edges": _with(_CUST_SUPP, f"SELECT {_SRC_DST}, a.degree AS src_degree, b.degree AS dst_degree FROM e JOIN d a ON a.id = src JOIN d b ON b.id = dst"),
         "skewed_vertices": _with(_CUST_SUPP, f"SELECT {_ID} FROM d WHERE degree > {HUB}"),
         "count_skewed": _with(_CUST_SUPP, "SELECT count(*) AS skewed FROM d WHERE 2 * degree > 1000"),
-        "triplets": _with(_SMALL, f"SELECT {_SRC_DST}, src AS src_value, dst AS dst_value FROM e"),
+        "triplets": _with(_COPART, f"SELECT {_SRC_DST}, src AS src_value, dst AS dst_value FROM e"),
         "map_vertices": _with(_ORDER_CUST, f"SELECT {_ID}, id * 2 + 1 AS value FROM v"),
-        "join_with_vertices": _with(_SMALL, f"SELECT {_ID}, CASE WHEN degree > 1 THEN degree - id ELSE id END AS value FROM d"),
+        "join_with_vertices": _with(_COPART, f"SELECT {_ID}, CASE WHEN degree > 1 THEN degree - id ELSE id END AS value FROM d"),
         "neighbors_min_in": _with(_COPART, "SELECT CAST(dst AS VARCHAR) AS id, min(src) AS value FROM e GROUP BY dst"),
         "neighbors_min_out": _with(_COPART, "SELECT CAST(src AS VARCHAR) AS id, min(dst) AS value FROM e GROUP BY src"),
         "neighbors_min_all": _with(_COPART, "SELECT CAST(dst AS VARCHAR) AS id, min(src) AS value FROM s GROUP BY dst"),
         "neighbors_sum": _with(_COPART, "SELECT CAST(dst AS VARCHAR) AS id, CAST(sum(src) AS BIGINT) AS value FROM s GROUP BY dst"),
-        "neighbors_group_with_value": _with(_SMALL, "SELECT CAST(id AS VARCHAR) AS id, id AS value, n, high FROM v LEFT JOIN (SELECT dst, count(*) AS n, max(src) AS high FROM e GROUP BY dst) q ON q.dst = v.id"),
+        "neighbors_group_with_value": _with(_COPART, "SELECT CAST(id AS VARCHAR) AS id, id AS value, n, high FROM v LEFT JOIN (SELECT dst, count(*) AS n, max(src) AS high FROM e GROUP BY dst) q ON q.dst = v.id"),
         "neighbors_set_size": _with(_COPART, "SELECT CAST(dst AS VARCHAR) AS id, count(DISTINCT src) AS size FROM s GROUP BY dst"),
-        "neighbors_multiset": _with(_SMALL, "SELECT CAST(src AS VARCHAR) AS id, CAST(dst AS VARCHAR) AS neighbour_id, 2 * count(*) AS count FROM s GROUP BY src, dst"),
+        "neighbors_multiset": _with(_COPART, "SELECT CAST(src AS VARCHAR) AS id, CAST(dst AS VARCHAR) AS neighbour_id, 2 * count(*) AS count FROM s GROUP BY src, dst"),
         "count_degree_messages": _with(_ORDER_CUST, _DEGREE),
         "alpha_split_edges": _with(_CUST_SUPP, "SELECT src, dst FROM x", _alpha_edges()),
         "alpha_split_degree": _with(_CUST_SUPP, _DEGREE),
@@ -102,23 +104,34 @@ def oracle_sql() -> dict[str, str]:
         "tree_merge_degree": _with(_CUST_SUPP, _DEGREE),
         "tree_split_edges_cleanup": _with(_CUST_SUPP, f"SELECT {_SRC_DST} FROM e"),
         "propagate_to_split": _with(_CUST_SUPP, f"SELECT {_ID}, degree, degree AS lowest FROM d"),
-        "cc": _reach(_SMALL, "s", None),
-        "cc_khop": _reach(_SMALL, "s", HOPS),
-        "cc_gsa_directed": _reach(_SMALL, "e", None),
-        "cc_gsa_undirected": _reach(_SMALL, "s", HOPS),
+        "cc": _reach(_COPART, "s", None),
+        "cc_khop": _reach(_COPART, "s", HOPS),
+        "cc_gsa_directed": _reach(_COPART, "e", None),
+        "cc_gsa_undirected": _reach(_COPART, "s", COMPONENT_STEPS),
         "cc_stars": _with(_ORDER_CUST, "SELECT CAST(src AS VARCHAR) AS id, dst AS component FROM e UNION ALL SELECT DISTINCT CAST(dst AS VARCHAR), dst FROM e"),
-        "cc_split": _reach(_SMALL, "s", None),
-        "cc_split_gsa": _reach(_SMALL, "s", HOPS),
+        "cc_split": _reach(_COPART, "s", None),
+        "cc_split_gsa": _reach(_COPART, "s", COMPONENT_STEPS),
         "triangles": _with(_COPART, _TRIANGLES),
-        "triangles_multigraph": _with(_SMALL, f"SELECT 4 * triangles * 1 AS triangles FROM ({_TRIANGLES})"),
+        "triangles_multigraph": _with(_COPART, f"SELECT 4 * triangles * 1 AS triangles FROM ({_TRIANGLES})"),
         "triangles_gsa": _with(_COPART, _TRIANGLES),
         "triangles_split": _with(_COPART, _TRIANGLES),
         "triangles_split_gsa": _with(_COPART, _TRIANGLES),
-        "jaccard_vertex": _jaccard(_SMALL, "n", ("id", "neighbour")),
+        "jaccard_vertex": _jaccard(_COPART, "n", ("id", "neighbour")),
         "jaccard_edge": _jaccard(_COPART, "e", ("src", "dst")),
-        "jaccard_split": _jaccard(_SMALL, "n", ("id", "neighbour")),
-        "jaccard_split_gsa": _jaccard(_SMALL, "e", ("src", "dst")),
+        "jaccard_split": _jaccard(_COPART, "n", ("id", "neighbour")),
+        "jaccard_split_gsa": _jaccard(_COPART, "e", ("src", "dst")),
         "community": _community(COMMUNITY_STEPS),
         "community_split": _community(COMMUNITY_STEPS),
+        "jaccard_user_type": _jaccard(_USER_TYPE, "e", ("src", "dst")),
+        "jaccard_map": f"""SELECT id, string_agg(neighbour || '=' || CAST(CAST(round(jaccard * 1000000) AS BIGINT) AS VARCHAR), ', ' ORDER BY neighbour) AS jaccard
+FROM ({_jaccard(_COPART, "n", ("id", "neighbour"))}) GROUP BY id""",
+        "cc_user_orders": _reach(_CUST_SUPP, "s", None),
+        "text_scan": _with(_ORDER_CUST, f"SELECT {_SRC_DST} FROM e"),
+        "text_scan_plain": _with(_USER_TYPE, "SELECT '#' || src AS src, dst FROM e"),
+        "text_scan_long": _with(_ORDER_CUST, f"SELECT {_SRC_DST} FROM e"),
+        "text_scan_weighted": _with(_COPART, f"SELECT {_SRC_DST}, CAST(3.0 AS DOUBLE) AS value FROM e"),
+        "vertex_scan": _with(_CUST_SUPP, f"SELECT {_ID}, degree AS value FROM d"),
+        "rows_sink_spaced": _with(_ORDER_CUST, "SELECT CAST(src AS VARCHAR) || ' ' || CAST(dst AS VARCHAR) AS line FROM e"),
+        "inline_scan": "SELECT CAST(n_nationkey AS VARCHAR) AS src, CAST(n_regionkey AS VARCHAR) AS dst FROM nation",
     }
     return out

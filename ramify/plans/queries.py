@@ -15,8 +15,9 @@ from ramify.operators.graph import PropertyGraph, endpoints, incident, oriented
 from ramify.sources import tables as T
 
 HUB = 100  # degree above which the split queries split
-COMMUNITY_STEPS = 3
-HOPS = 2
+COMMUNITY_STEPS = 30  # the reference's bounds
+COMPONENT_STEPS = 4
+HOPS = 2  # where the bound is the feature
 
 
 def _graph(edges: DataFrame, valued: bool = False) -> PropertyGraph:
@@ -38,7 +39,7 @@ def edge_scan_user_type(spark: SparkSession, d: str) -> DataFrame:
 def edge_scan_weighted(spark: SparkSession, d: str) -> DataFrame:
     from ramify.sources import FIXED_WEIGHT
 
-    return _ids(T.copart_returned(spark, d), "src", "dst").withColumn("value", F.lit(FIXED_WEIGHT))
+    return _ids(T.copart(spark, d), "src", "dst").withColumn("value", F.lit(FIXED_WEIGHT))
 
 
 def vertices_from_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +51,7 @@ def edge_endpoints(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edge_incidence(spark: SparkSession, d: str) -> DataFrame:
-    return incident(T.copart_returned(spark, d)).select(F.col("node").cast("string").alias("node"), F.col("neighbour").cast("string").alias("neighbour"), F.col("edge.src").alias("edge_src"))
+    return incident(T.copart(spark, d)).select(F.col("node").cast("string").alias("node"), F.col("neighbour").cast("string").alias("neighbour"), F.col("edge.src").alias("edge_src"))
 
 
 def undirected(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +104,7 @@ def count_skewed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def triplets(spark: SparkSession, d: str) -> DataFrame:
-    return _ids(_graph(T.copart_returned(spark, d), True).triplets(), "src", "dst")
+    return _ids(_graph(T.copart(spark, d), True).triplets(), "src", "dst")
 
 
 def map_vertices(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +112,7 @@ def map_vertices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def join_with_vertices(spark: SparkSession, d: str) -> DataFrame:
-    g = _graph(T.copart_returned(spark, d), True)
+    g = _graph(T.copart(spark, d), True)
     new = D.degrees(g).where("degree > 1").select("id", F.col("degree").alias("value"))
     return _ids(g.join_with_vertices(new, lambda old, v: v - old).vertices, "id")
 
@@ -138,7 +139,7 @@ def neighbors_sum(spark: SparkSession, d: str) -> DataFrame:
 
 def neighbors_group_with_value(spark: SparkSession, d: str) -> DataFrame:
     """With the vertex's own value, and rows for vertices without an edge into them."""
-    g = _graph(T.copart_returned(spark, d), True)
+    g = _graph(T.copart(spark, d), True)
     return _ids(N.group_reduce_with_value(g, "in", F.count("*").alias("n"), F.max("neighbour_value").alias("high")), "id")
 
 
@@ -147,7 +148,7 @@ def neighbors_set_size(spark: SparkSession, d: str) -> DataFrame:
 
 
 def neighbors_multiset(spark: SparkSession, d: str) -> DataFrame:
-    return _ids(N.neighbour_multisets(_graph(T.copart_returned(spark, d)).undirected()), "id", "neighbour_id")
+    return _ids(N.neighbour_multisets(_graph(T.copart(spark, d)).undirected()), "id", "neighbour_id")
 
 
 def count_degree_messages(spark: SparkSession, d: str) -> DataFrame:
@@ -201,19 +202,19 @@ def propagate_to_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cc(spark: SparkSession, d: str) -> DataFrame:
-    return _ids(A.connected_components(_graph(T.copart_returned(spark, d))), "id")
+    return _ids(A.connected_components(_graph(T.copart(spark, d))), "id")
 
 
 def cc_khop(spark: SparkSession, d: str) -> DataFrame:
-    return _ids(A.connected_components(_graph(T.copart_returned(spark, d)), HOPS), "id")
+    return _ids(A.connected_components(_graph(T.copart(spark, d)), HOPS), "id")
 
 
 def cc_gsa_directed(spark: SparkSession, d: str) -> DataFrame:
-    return _ids(A.min_ancestor_label(_graph(T.copart_returned(spark, d))), "id")
+    return _ids(A.min_ancestor_label(_graph(T.copart(spark, d))), "id")
 
 
 def cc_gsa_undirected(spark: SparkSession, d: str) -> DataFrame:
-    return _ids(A.min_ancestor_label(_graph(T.copart_returned(spark, d)), HOPS, undirected=True), "id")
+    return _ids(A.min_ancestor_label(_graph(T.copart(spark, d)), COMPONENT_STEPS, undirected=True), "id")
 
 
 def cc_stars(spark: SparkSession, d: str) -> DataFrame:
@@ -221,11 +222,11 @@ def cc_stars(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cc_split(spark: SparkSession, d: str) -> DataFrame:
-    return A.split_connected_components(_graph(T.copart_returned(spark, d)))
+    return A.split_connected_components(_graph(T.copart(spark, d)), threshold=HUB)
 
 
 def cc_split_gsa(spark: SparkSession, d: str) -> DataFrame:
-    return A.split_connected_components(_graph(T.copart_returned(spark, d)), HOPS)
+    return A.split_connected_components(_graph(T.copart(spark, d)), COMPONENT_STEPS, threshold=HUB)
 
 
 def triangles(spark: SparkSession, d: str) -> DataFrame:
@@ -233,7 +234,7 @@ def triangles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def triangles_multigraph(spark: SparkSession, d: str) -> DataFrame:
-    return A.triangle_count(_graph(T.copart_returned(spark, d)).undirected(), multigraph=True)
+    return A.triangle_count(_graph(T.copart(spark, d)).undirected(), multigraph=True)
 
 
 def triangles_gsa(spark: SparkSession, d: str) -> DataFrame:
@@ -249,7 +250,92 @@ def triangles_split_gsa(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jaccard_vertex(spark: SparkSession, d: str) -> DataFrame:
-    return _ids(A.jaccard_vertices(_graph(T.copart_returned(spark, d))), "id", "neighbour")
+    return _ids(A.jaccard_vertices(_graph(T.copart(spark, d))), "id", "neighbour")
+
+
+def jaccard_user_type(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that aren't numbers."""
+    return A.jaccard_edges(_graph(T.user_type(spark, d)))
+
+
+def jaccard_map(spark: SparkSession, d: str) -> DataFrame:
+    """A map per vertex as files have it: its values by its keys' order, in text."""
+    maps = A.as_maps(A.jaccard_vertices(_graph(T.copart(spark, d))))
+    entries = F.array_sort(F.map_entries("jaccard"))
+    shown = F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 1_000_000).cast("long").cast("string")))
+    return _ids(maps, "id").select("id", F.array_join(shown, ", ").alias("jaccard"))
+
+
+def cc_user_orders(spark: SparkSession, d: str) -> DataFrame:
+    return _ids(A.connected_components(_graph(T.customer_supplier(spark, d))), "id")
+
+
+def _as_text(spark: SparkSession, edges: DataFrame, comment: str = "") -> str:
+    """The edges as tab-separated lines in a shared folder, a comment at the top of each file."""
+    from ramify.plans.checkpoint import scratch_path
+
+    path = scratch_path(spark)
+    lines = edges.select(F.concat_ws("\t", "src", "dst").alias("value"))
+    if comment:
+        lines = spark.range(1).select(F.lit(f"# {comment}").alias("value")).unionByName(lines)
+    lines.write.text(path)
+    return path
+
+
+def text_scan(spark: SparkSession, d: str) -> DataFrame:
+    from ramify.sources import read_edges
+
+    return read_edges(spark, _as_text(spark, T.order_customer(spark, d), "orders and customers"))
+
+
+def text_scan_plain(spark: SparkSession, d: str) -> DataFrame:
+    """Without comments: a line that begins with # is an edge."""
+    from ramify.sources import read_edges
+
+    edges = T.user_type(spark, d).withColumn("src", F.concat(F.lit("#"), "src"))
+    return read_edges(spark, _as_text(spark, edges), comment=None)
+
+
+def text_scan_long(spark: SparkSession, d: str) -> DataFrame:
+    """Ids with leading zeros come back as numbers are written."""
+    from ramify.sources import read_edges
+
+    edges = T.order_customer(spark, d).select(F.concat(F.lit("00"), "src").alias("src"), F.concat(F.lit("0"), "dst").alias("dst"))
+    return read_edges(spark, _as_text(spark, edges), ids="long")
+
+
+def text_scan_weighted(spark: SparkSession, d: str) -> DataFrame:
+    from ramify.sources import FIXED_WEIGHT, read_edges
+
+    return read_edges(spark, _as_text(spark, T.copart(spark, d), "parts"), weight=FIXED_WEIGHT)
+
+
+def vertex_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Degrees written by the sink, a line per vertex, and read as a vertex file."""
+    from ramify.plans.checkpoint import scratch_path
+    from ramify.sources import read_vertices, write_rows
+
+    path = scratch_path(spark)
+    write_rows(D.degrees(_graph(T.customer_supplier(spark, d))), path)
+    return read_vertices(spark, path)
+
+
+def rows_sink_spaced(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of a sink with blanks between fields."""
+    from ramify.plans.checkpoint import scratch_path
+    from ramify.sources import write_rows
+
+    path = scratch_path(spark)
+    write_rows(T.order_customer(spark, d), path, " ")
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def inline_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The regions' and nations' keys as edges from a list: 25 rows at every size."""
+    from ramify.sources import inline_edges
+
+    rows = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_regionkey").collect()
+    return inline_edges(spark, [(r[0], r[1]) for r in rows])
 
 
 def jaccard_edge(spark: SparkSession, d: str) -> DataFrame:
@@ -257,15 +343,15 @@ def jaccard_edge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jaccard_split(spark: SparkSession, d: str) -> DataFrame:
-    return A.split_jaccard_vertices(_graph(T.copart_returned(spark, d)))
+    return A.split_jaccard_vertices(_graph(T.copart(spark, d)), threshold=HUB)
 
 
 def jaccard_split_gsa(spark: SparkSession, d: str) -> DataFrame:
-    return A.split_jaccard_edges(_graph(T.copart_returned(spark, d)))
+    return A.split_jaccard_edges(_graph(T.copart(spark, d)), threshold=HUB)
 
 
 def _weighted(spark: SparkSession, d: str) -> PropertyGraph:
-    return _graph(T.copart_returned(spark, d).withColumn("value", F.lit(3.0)))
+    return _graph(T.copart(spark, d).withColumn("value", F.lit(3.0)))
 
 
 def community(spark: SparkSession, d: str) -> DataFrame:
@@ -273,7 +359,7 @@ def community(spark: SparkSession, d: str) -> DataFrame:
 
 
 def community_split(spark: SparkSession, d: str) -> DataFrame:
-    return A.split_communities(_weighted(spark, d), COMMUNITY_STEPS).select("id", "label")
+    return A.split_communities(_weighted(spark, d), COMMUNITY_STEPS, threshold=HUB).select("id", "label")
 
 
 _QUERIES = (
@@ -283,7 +369,8 @@ _QUERIES = (
     neighbors_set_size, neighbors_multiset, count_degree_messages, alpha_split_edges, alpha_split_degree, tree_split_degree, tree_split_fixed_degree, tree_merge_degree,
     tree_split_edges_cleanup, propagate_to_split, cc, cc_khop, cc_gsa_directed, cc_gsa_undirected, cc_stars, cc_split, cc_split_gsa,
     triangles, triangles_multigraph, triangles_gsa, triangles_split, triangles_split_gsa, jaccard_vertex, jaccard_edge, jaccard_split, jaccard_split_gsa,
-    community, community_split,
+    community, community_split, jaccard_user_type, jaccard_map, cc_user_orders, text_scan, text_scan_plain, text_scan_long, text_scan_weighted, vertex_scan,
+    rows_sink_spaced, inline_scan,
 )
 
 

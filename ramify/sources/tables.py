@@ -24,11 +24,6 @@ def copart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(_table(spark, sf_dir, "lineitem"))
 
 
-def copart_returned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that share an order, by returned lines of a quantity of 40 or more."""
-    return _pairs(_table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 40"))
-
-
 def customer_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and the suppliers of their orders; suppliers' ids begin at SUPPLIER_OFFSET."""
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")

@@ -1,4 +1,4 @@
-"""The queries on the whole co-part graph against brute force, on sf0.001."""
+"""Queries on the co-part graph, where hubs are, against brute force too, on sf0.001."""
 
 from collections import defaultdict
 from math import fsum
@@ -7,11 +7,15 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from ramify.plans import oracles, whole
-from ramify.plans.queries import HOPS, HUB
+from ramify.plans import queries
+from ramify.plans.queries import COMMUNITY_STEPS, COMPONENT_STEPS, HOPS, HUB
 
 SF = "/root/testdata/sf0.001"
 SPREAD = {"cc_khop": HOPS, "cc_gsa_undirected": 4, "cc_split_gsa": 4}
+OPERATORS = (
+    "edge_scan_weighted edge_incidence triplets join_with_vertices neighbors_group_with_value neighbors_multiset cc cc_khop cc_gsa_directed cc_gsa_undirected "
+    "cc_split cc_split_gsa triangles_multigraph jaccard_vertex jaccard_split jaccard_split_gsa community community_split"
+).split()
 
 
 @pytest.fixture(scope="module")
@@ -86,26 +90,21 @@ def brute(name, edges, around):
 
 def test_whole_graph_has_hubs(edges, around):
     assert max(map(len, around.values())) > HUB
-    assert {f"{f.__name__}_whole" for f in whole.OPERATORS} <= set(entry.queries())
-    small = [n for n, sql in oracles.oracle_sql().items() if "l_quantity" in sql]
-    assert sorted(small) == sorted(f.__name__ for f in whole.OPERATORS)
+    assert set(OPERATORS) <= set(entry.queries())
+    assert (COMMUNITY_STEPS, COMPONENT_STEPS) == (30, 4)
 
 
-@pytest.mark.parametrize("name", [f.__name__ for f in whole.OPERATORS])
+@pytest.mark.parametrize("name", OPERATORS)
 def test_whole(spark, name, edges, around):
-    df = entry.queries()[f"{name}_whole"](spark, SF)
+    df = entry.queries()[name](spark, SF)
     got = [tuple(r) for r in (df.select("src", "dst", "src_value", "dst_value") if name == "triplets" else df).collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute(name, edges, around)
 
 
 def test_reference_supersteps(spark, monkeypatch):
-    """A path longer than either bound: labels move 4 hops in the component queries; communities run 30 supersteps."""
+    """A path longer than either bound: labels move 4 hops in the component queries."""
     path = spark.createDataFrame([(k, k + 1) for k in range(1, 9)], "src long, dst long")
-    for operator in (whole.cc_gsa_undirected, whole.cc_split_gsa):
-        assert {int(r[0]): r[1] for r in operator(path).collect()} == {k: max(1, k - 4) for k in range(1, 10)}
-    ran = []
-    monkeypatch.setattr(whole.A, "communities", lambda g, steps, **_: ran.append(steps) or g.vertices.selectExpr("id", "0 label"))
-    monkeypatch.setattr(whole.A, "split_communities", lambda g, steps, **_: ran.append(steps) or g.vertices.selectExpr("id", "0 label"))
-    whole.community(path), whole.community_split(path)
-    assert ran == [30, 30]
+    monkeypatch.setattr(queries.T, "copart", lambda *_: path)
+    for operator in (queries.cc_gsa_undirected, queries.cc_split_gsa):
+        assert {int(r[0]): r[1] for r in operator(spark, SF).collect()} == {k: max(1, k - 4) for k in range(1, 10)}
