@@ -208,3 +208,36 @@ def test_sources_and_sinks(spark, tmp_path, graph):
     assert sorted(x for p in (tmp_path / "spaced").glob("part-*") for x in p.read_text().splitlines())[0] == "1 2"
     sources.write_table(graph(COMPONENTS).edges, str(tmp_path / "table"))
     assert spark.read.parquet(str(tmp_path / "table")).count() == 4
+
+
+def test_jaccard_of_ids_that_are_no_numbers(graph):
+    named = [(f"v-{a}", f"v-{b}") for a, b in JACCARD]
+    plain = {(r[0], r[1]): r[2] for r in A.jaccard_edges(graph(JACCARD)).collect()}
+    for f in (A.jaccard_edges, A.split_jaccard_edges):
+        assert {(r[0][2:], r[1][2:]): r[2] for r in f(graph(named)).collect()} == plain
+    assert A.jaccard_vertices(graph(named)).count() == 20
+
+
+def test_ids_with_the_separator_fail(graph):
+    g = graph(parse("x_1-h x_2-h x_3-h y-x_1"))
+    with pytest.raises(Exception, match="holds '_'"):
+        A.split_degrees(g).collect()
+
+
+def test_components_of_a_long_path(spark):
+    """2,000 hops, in far fewer rounds; and some components beside."""
+    edges = spark.range(2000).selectExpr("id + 1 as src", "id as dst").unionByName(spark.createDataFrame([(5001, 5003), (5003, 5002), (5002, 5001), (6000, 6000)], "src long, dst long"))
+    out = as_dict(A.connected_components(PropertyGraph.from_edges(edges)))
+    assert out == {k: 0 for k in range(2001)} | {5001: 5001, 5002: 5001, 5003: 5001, 6000: 6000}
+
+
+def test_steps_leave_no_files(spark, tmp_path):
+    """A step's table goes when the next one is there."""
+    from ramify.plans import checkpoint
+
+    before = checkpoint.cut(spark.range(3))
+    path = before._ramify_path
+    after = checkpoint.cut(before, instead_of=before)
+    import os
+
+    assert after.count() == 3 and not os.path.exists(path.removeprefix("file://"))
