@@ -16,7 +16,7 @@ repeat the system turn and that history; what is repeated is masked, so each ass
 budget unless one turn, or the system turn with one, is beyond it: turns are never cut.
 
 Prefix sums have two levels, chunks of CHUNK turn numbers and their totals, and windows are put together by cell, which holds
-as many turns as it has tokens at most. So no step gathers a conversation, however long, but ``read_back``, whose digests are of the
+as many turns as it has tokens at most. Turns with their places are written once. So no step gathers a conversation, however long, but ``read_back``, whose digests are of the
 whole conversation as one string.
 
 Edge cases: a null text or role is empty. Turns are ordered by (turn, role, text), nulls first, so ties and repeated rows have one
@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ramify.llm.common import ship
+from ramify.llm.common import Scratch, ship
 
 BUDGET = 1024
 HISTORY = 2
@@ -61,7 +61,7 @@ def pieces(s: Column) -> Column:
 
 
 def written_turns(turns: DataFrame) -> DataFrame:
-    """conv_id (0 for none), loose, chunk, turn, role, text as they order a conversation; s, cost, skip (the role's length as written), loss."""
+    """conv_id (0 for none), loose, chunk; turn, role, text as they order a conversation; cost."""
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
     turn, conv = F.col("turn").cast("long"), F.col("conv_id").cast("long")
     given = F.col("n_tokens").cast("long") if "n_tokens" in turns.columns else F.lit(None).cast("long")
@@ -69,14 +69,15 @@ def written_turns(turns: DataFrame) -> DataFrame:
         F.coalesce(conv, F.lit(0)).alias("conv_id"), F.when(conv.isNull(), F.monotonically_increasing_id() + 1).otherwise(F.lit(0)).alias("loose"),
         F.coalesce(F.floor(turn / CHUNK), F.lit(-(1 << 62))).alias("chunk"), turn.alias("turn"), role.alias("role"), text.alias("text"), given.alias("given"),
     )
-    rows = rows.withColumn("role_s", escape(F.col("role")))
-    rows = rows.withColumn("s", F.concat(F.lit(_OPEN), "role_s", F.lit(_MID), escape(F.col("text")), F.lit(_CLOSE)))
-    cost = F.greatest(F.lit(1), F.coalesce("given", pieces(F.col("s"))))
-    return rows.select(*_KEY, "chunk", "turn", "role", "text", "s", cost.alias("cost"), F.length("role_s").alias("skip"), (F.col("role") == LOSS_ROLE).alias("loss"))
+    return rows.select(*_KEY, "chunk", "turn", "role", "text", F.greatest(F.lit(1), F.coalesce("given", pieces(_written()))).alias("cost"))
+
+
+def _written() -> Column:
+    return F.concat(F.lit(_OPEN), escape(F.col("role")), F.lit(_MID), escape(F.col("text")), F.lit(_CLOSE))
 
 
 def placed_turns(turns: DataFrame, budget: int, history: int, history_share: int) -> DataFrame:
-    """(conv_id, loose, i, s, cost, skip, loss, system, turns, room, before, ahead): each turn's number and place on the line of costs.
+    """(conv_id, loose, i, s, cost, skip, loss, system, turns, room, before, ahead): each turn's number and place on the line of costs; s: as written.
 
     before is null for a system turn; ahead has the costs of up to history - 1 turns after the next one's beginning.
     """
@@ -85,7 +86,7 @@ def placed_turns(turns: DataFrame, budget: int, history: int, history_share: int
     near = F.collect_list("cost").over(order.rowsBetween(1, max(1, history - 1)))
     rows = written_turns(turns).select(
         *_KEY, "chunk", F.row_number().over(order).alias("rn"), F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"),
-        near.alias("near"), (F.col("role") == "system").alias("system"), "s", "cost", "skip", "loss",
+        near.alias("near"), (F.col("role") == "system").alias("system"), "role", "text", "cost",
     )
     # one row of numbers per chunk
     totals = rows.groupBy(*key).agg(
@@ -105,7 +106,7 @@ def placed_turns(turns: DataFrame, budget: int, history: int, history_share: int
     system = F.col("headed") & (i == 0)
     before = F.col("c0") + F.col("run") - F.col("cost") - F.col("system_cost")
     return joined.select(
-        *_KEY, i.alias("i"), "s", "cost", "skip", "loss", system.alias("system"), "turns",
+        *_KEY, i.alias("i"), _written().alias("s"), "cost", F.length(escape(F.col("role"))).alias("skip"), (F.col("role") == LOSS_ROLE).alias("loss"), system.alias("system"), "turns",
         F.greatest(F.lit(1), F.lit(budget - history_share) - F.col("system_cost")).alias("room"),  # a window holds a turn in any case
         F.when(~system, before).alias("before"), F.slice(F.concat("near", "after"), 1, max(1, history - 1)).alias("ahead"),
     )
@@ -135,7 +136,8 @@ def _blocks() -> Column:
 def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_share: int = HISTORY_SHARE) -> DataFrame:
     """One row per window: conv_id, loose, window (ascending, 0 first), formatted, n_repeated (leading turns that repeat), loss_spans (start, length in formatted)."""
     ship(turns.sparkSession)
-    placed = placed_turns(turns, budget, history, history_share)
+    # read three times: for the cells, and for system turns with others and alone
+    placed = Scratch(turns.sparkSession).put(placed_turns(turns, budget, history, history_share), "placed")
     part = F.struct("i", (F.floor(F.col("before") / F.col("room")) == F.col("cell")).alias("own"), "before", "cost", "skip", "loss", "s")
     spread = placed.where("not system").withColumn("cell", F.explode(_cells(history)))
     cells = spread.groupBy(*_KEY, "cell").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.first("room").alias("room"))
