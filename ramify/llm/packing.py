@@ -29,7 +29,7 @@ END_ID = 2
 BLOCK = 1024
 MAX_BROADCAST_PARTITIONS = 1 << 18  # rows of 24 bytes
 SLICE_BYTES = 6_000_000
-CACHE_BYTES = 96_000_000
+CACHE_BYTES = 200_000_000
 PART_WORDS = 400_000
 CALL_WORDS = 2048
 _SIGNS = b'.,;:!?|%*#$&()[]{}/+=@^~"<>\\_-'  # not the apostrophe, which may belong to letters after it
@@ -47,7 +47,7 @@ def _encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
 
     No token of the vocabulary crosses white space, so the words of a text can be encoded one by one.
     A text is split PART_WORDS words at a time, a call encodes CALL_WORDS at most, and the cache begins
-    anew beyond CACHE_BYTES: what a worker holds beside its rows is bounded.
+    anew beyond CACHE_BYTES: what a worker holds beside its rows, and goes on holding between tasks, is bounded.
     """
     import os
 
@@ -133,7 +133,6 @@ def _encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
             out.append(b"".join(ids))
         return out + several(split)
 
-    run.known = known  # type: ignore[attr-defined]
     return run
 
 
@@ -154,10 +153,7 @@ def _tokenize(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
                     ["doc_id", "ids", "n", "part", "before"],
                 )
 
-    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return tidy(run, _encoder(path).known)(batches)
-
-    return tidied
+    return tidy(run)  # the worker's next task goes on with the words learnt, which are bounded
 
 
 def _cut(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
