@@ -152,7 +152,9 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
             wanted += [(t, rule.kind, number, 1 << bit, (1 << len(conjunction)) - 1) for bit, t in enumerate(conjunction)]
     if not wanted:
         return None
-    plan = spark.createDataFrame(wanted, "trigram string, kind string, part int, bit long, full long")
+    names = ("trigram", "kind", "part", "bit", "full")
+    rows = [F.struct(*(F.lit(v).cast("string" if i < 2 else "int" if i == 2 else "long").alias(n) for i, (n, v) in enumerate(zip(names, w, strict=True)))) for w in wanted]
+    plan = spark.range(1).select(F.inline(F.array(*rows)))
     index = postings(docs, sorted({w[0] for w in wanted}))
     met = index.join(F.broadcast(plan), "trigram")  # the plan has one row per trigram of a rule
     met = met.groupBy("doc_id", "kind", "part").agg(F.expr("bit_or(bit)").alias("bits"), F.first("full").alias("full")).where("bits = full")
