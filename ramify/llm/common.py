@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITESPACE = " \t\n\x0b\f\r"
+#: Of an Arrow batch while a table is written. A batch of rows with two long texts each would take much more, in the JVM and again in Python.
+BATCH_BYTES = 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,16 +89,18 @@ class Scratch:
         atexit.register(delete, spark, self.path)
 
     def put(self, df: DataFrame, name: str = "t", rows_per_batch: int = 1000) -> DataFrame:
-        """Write df, return a DataFrame that reads what was written. rows_per_batch: of the Arrow batches meanwhile, which bounds a worker's memory."""
+        """Write df, return a DataFrame that reads what was written. rows_per_batch: of the Arrow batches meanwhile, which have BATCH_BYTES at most, or one row more; that bounds a worker's memory."""
         self.count += 1
         path = f"{self.path}/{self.count:03d}-{name}"
-        setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = self.spark.conf.get(setting)
-        self.spark.conf.set(setting, rows_per_batch)
+        bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows_per_batch, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+        before = {k: self.spark.conf.get(k) for k in bounds}
+        for k, v in bounds.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(setting, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
 

@@ -133,27 +133,32 @@ def _encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
             out.append(b"".join(ids))
         return out + several(split)
 
+    run.forget = known.clear
     return run
 
 
-def _tokenize(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _tokenize(path: str, end: int, keep: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, before, encode = TaskContext.get().partitionId(), 0, _encoder(path)
         tail = np.array([end], "<u2").tobytes()
-        for batch in batches:
-            for piece in slices(batch, 1, SLICE_BYTES):
-                ids = [x + tail for x in encode(piece.column(1).cast(pa.binary()).to_pylist())]
-                n = np.array([len(x) // 2 for x in ids], np.int64)
-                start = before + np.cumsum(n) - n
-                before += int(n.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array(np.full(len(n), part, np.int64)), pa.array(start)],
-                    ["doc_id", "ids", "n", "part", "before"],
-                )
-
-    return tidy(run)  # the worker's next task goes on with the words learnt, which are bounded
+        try:
+            for batch in batches:
+                for piece in slices(batch, 1, SLICE_BYTES):
+                    ids = [x + tail for x in encode(piece.column(1).cast(pa.binary()).to_pylist())]
+                    n = np.array([len(x) // 2 for x in ids], np.int64)
+                    start = before + np.cumsum(n) - n
+                    before += int(n.sum())
+                    yield pa.RecordBatch.from_arrays(
+                        [piece.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array(np.full(len(n), part, np.int64)), pa.array(start)],
+                        ["doc_id", "ids", "n", "part", "before"],
+                    )
+        finally:
+            if not keep:
+                encode.forget()
+
+    return tidy(run)
 
 
 def _cut(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -175,12 +180,15 @@ def _cut(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int = END_ID, keep_words: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    keep_words: a worker's next task goes on with the words learnt, up to CACHE_BYTES. Without it they go with the task, for workers that other operators need.
+    """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark)
-    tokens = ids_and_text(docs).mapInArrow(_tokenize(vocabulary or default_vocabulary(), end_id), "doc_id long, ids binary, n long, part long, before long")
+    tokens = ids_and_text(docs).mapInArrow(_tokenize(vocabulary or default_vocabulary(), end_id, keep_words), "doc_id long, ids binary, n long, part long, before long")
     tokens = scratch.put(tokens, "tokens", 4000)
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total")).withColumn("block", F.expr(f"part div {BLOCK}"))
     blocks = totals.groupBy("block").agg(F.sum("total").alias("sum"))

@@ -86,7 +86,7 @@ class Lexicon:
     model: tuple[float, ...] = field(default=())
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _automaton(weights: tuple[tuple[str, float], ...]):
     import ahocorasick
 
@@ -139,7 +139,7 @@ def _pairs(text: str, holds: Callable[[str], bool]) -> set[str]:
     return {f" {a} {b} " for a, b in pairwise(words) if holds(a) or holds(b)}
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _holder(terms: tuple[tuple[str, float], ...]) -> Callable[[str], bool]:
     """Whether the longest pattern that begins at a word is a term."""
     weights = dict(terms)
@@ -193,7 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Lexicon:
         return Lexicon()
 
     def counted(found_in: Callable[[str], set[str]]) -> DataFrame:
-        return sample.mapInArrow(lambda batches: _count(batches, found_in), "term string, d1 long, d0 long").groupBy("term").agg(F.sum("d1").alias("d1"), F.sum("d0").alias("d0"))
+        return sample.mapInArrow(tidy(lambda batches: _count(batches, found_in)), "term string, d1 long, d0 long").groupBy("term").agg(F.sum("d1").alias("d1"), F.sum("d0").alias("d0"))
 
     weight = F.log((F.col("d1") + 0.5) / (n1 + 1.0)) - F.log((F.col("d0") + 0.5) / (n0 + 1.0))
     gain = F.col("d1") / F.lit(float(n1)) - 4 * F.col("d0") / F.lit(float(n0))
@@ -225,7 +225,7 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Lexicon:
             columns = zip(*got, strict=True) if got else ([],) * 3
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.float64()) for c in columns), batch.column(1)], ["x0", "x1", "x2", "label"])
 
-    data = np.array(sample.mapInArrow(measured, "x0 double, x1 double, x2 double, label int").collect(), float)  # 2 * SAMPLE_PER_LABEL rows at most
+    data = np.array(sample.mapInArrow(tidy(measured), "x0 double, x1 double, x2 double, label int").collect(), float)  # 2 * SAMPLE_PER_LABEL rows at most
     data = data[np.lexsort(data.T)]
     # both kinds weigh what they do among all labelled rows, however many of them the sample has
     return Lexicon(frozen, _fit(data[:, :3], data[:, 3], np.where(data[:, 3] == 1, labelled[1] / n1, labelled[0] / n0)))
