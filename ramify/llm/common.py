@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import os
-import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -16,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ramify.plans.workers import is_local, ship  # noqa: F401
+
 WHITESPACE = " \t\n\x0b\f\r"
 #: Of an Arrow batch while a table is written. A batch of rows with two long texts each would take much more, in the JVM and again in Python.
 BATCH_BYTES = 8_000_000
@@ -26,33 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def is_local(spark: SparkSession) -> bool:
-    """Whether driver and executors are one process."""
-    return re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master) is not None
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers started from now on import this package: by path where they run on the driver's machine, else as an archive."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    context = spark.sparkContext
-    if is_local(spark):
-        have = context.environment.get("PYTHONPATH", "")
-        if root not in have.split(os.pathsep):
-            context.environment["PYTHONPATH"] = root + (os.pathsep + have if have else "")
-    elif context.applicationId not in _shipped:
-        _shipped.add(context.applicationId)
-        archive = os.path.join(tempfile.mkdtemp(prefix="ramify-"), "ramify.zip")
-        with zipfile.ZipFile(archive, "w") as out:
-            for folder, _, names in os.walk(os.path.join(root, "ramify")):
-                for name in names:
-                    if name.endswith(".py"):
-                        out.write(path := os.path.join(folder, name), os.path.relpath(path, root))
-        context.addPyFile(archive)  # read by the executors from the driver
-
-
-_shipped: set[str] = set()
-
-
 def names_in(spark: SparkSession, path: str) -> list[str]:
     """Names of what a folder holds, in whatever store it is; none if it isn't there."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
