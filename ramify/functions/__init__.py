@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +25,36 @@ def level_hash(neighbour: Column, level: int) -> Column:
     return h
 
 
+def string_hashes(numbers: np.ndarray) -> np.ndarray:
+    """string_hash of numbers as they are written, for arrays."""
+    out = np.zeros(len(numbers), np.int64)
+    rest = np.where(numbers < 0, np.uint64(0) - numbers.astype(np.uint64), numbers.astype(np.uint64))
+    power, left = np.ones(len(numbers), np.int64), np.ones(len(numbers), bool)
+    while left.any():  # from the last digit on
+        out = (out + np.where(left, (rest % np.uint64(10)).astype(np.int64) + 48, 0) * power) & 0xFFFFFFFF
+        power = np.where(left, (power * 31) & 0xFFFFFFFF, power)
+        rest = rest // np.uint64(10)
+        left = rest > 0
+    out = (out + np.where(numbers < 0, ord("-"), 0) * power) & 0xFFFFFFFF
+    return np.where(out >= 1 << 31, out - (1 << 32), out)
+
+
+def level_hashes(neighbours: np.ndarray, level: int) -> np.ndarray:
+    """level_hash for arrays of numbers."""
+    known, where = np.unique(neighbours, return_inverse=True)
+    h = string_hashes(known)
+    for _ in range(level):
+        h = np.array([_text_hash(sha256(str(x).encode()).hexdigest()) for x in h.tolist()], np.int64)
+    return h[where]
+
+
+def _text_hash(text: str) -> int:
+    h = 0
+    for c in text.encode():
+        h = (h * 31 + c) & 0xFFFFFFFF
+    return h - (1 << 32) if h >= 1 << 31 else h
+
+
 def child_number(neighbour: Column, level: int, alpha: int) -> Column:
     return F.abs(level_hash(neighbour, level)) % alpha
 

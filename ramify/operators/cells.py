@@ -38,12 +38,14 @@ def _pack(values: np.ndarray) -> bytes:
     """Integers as zstd of the byte planes of their zigzag differences."""
     d = np.diff(values.astype(np.int64), prepend=0)
     z = ((d << 1) ^ (d >> 63)).view(np.uint64)
-    width = max(1, (int(z.max()).bit_length() + 7) // 8)
+    width = max(1, (int(z.max(initial=0)).bit_length() + 7) // 8)
     planes = np.ascontiguousarray(z.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
     return bytes([width]) + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unpack(data: pa.BinaryScalar, n: int) -> np.ndarray:
+    if n == 0:
+        return np.zeros(0, np.int64)
     data = data.as_buffer()
     width = data[0]
     planes = np.frombuffer(pa.decompress(data.slice(1), decompressed_size=width * n, codec="zstd"), np.uint8).reshape(width, n)

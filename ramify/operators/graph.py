@@ -39,12 +39,13 @@ def oriented(edges: DataFrame) -> DataFrame:
 class PropertyGraph:
     vertices: DataFrame
     edges: DataFrame
+    spanned: bool = False  # whether the vertices are just the edges' ends
 
     @classmethod
     def from_edges(cls, edges: DataFrame, value: Callable[[Column], Column] | None = None) -> PropertyGraph:
         """Vertices are the distinct endpoints; value(id) is their value."""
         ids = endpoints(edges).distinct()
-        return cls(ids if value is None else ids.withColumn("value", value(F.col("id"))), edges)
+        return cls(ids if value is None else ids.withColumn("value", value(F.col("id"))), edges, True)
 
     def undirected(self) -> PropertyGraph:
         return PropertyGraph(self.vertices, both_orientations(self.edges))

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ramify.functions import checked_id, child_id, child_number, is_split, level_hash, parent_of, root_of
+from ramify.functions import checked_id, child_id, child_number, is_split, level_hash, level_hashes, parent_of, root_of
 from ramify.operators.degrees import weigh_edges
 from ramify.operators.graph import PropertyGraph
 from ramify.plans.checkpoint import cut, small
@@ -113,6 +114,26 @@ def tree_split(graph: PropertyGraph, skewed: DataFrame, alpha: int = ALPHA, leve
     return SplitGraph(cut(vertices.withColumn("root", root_of(F.col("id")))), out)
 
 
+def deal(owner: np.ndarray, neighbour: np.ndarray, alpha: int, level: int, threshold: float, counted: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The adaptive tree split of packed edges: the sub-vertex of each (owner, neighbour), and the owner of each sub-vertex, in order.
+
+    owner: numbers from 0. Sub-vertices of one owner follow each other. An owner whose edges, each counted so many times, are more than the threshold is split,
+    an edge going to the child that the level hash of the neighbour's id says; so are its children on the next level.
+    """
+    owners = int(owner.max(initial=-1)) + 1
+    sub, root = owner, np.arange(owners)
+    for i in range(level):
+        hot = np.flatnonzero((counted * np.bincount(sub, minlength=len(root)) > threshold)[sub]) if len(sub) else sub
+        if not len(hot):
+            break
+        child = sub * alpha
+        child[hot] += np.abs(level_hashes(neighbour[hot], i)) % alpha
+        # those without edges stay: they are vertices too
+        known = np.unique(np.concatenate([child, np.flatnonzero(np.bincount(sub, minlength=len(root)) == 0) * alpha]))
+        root, sub = root[known // alpha], np.searchsorted(known, child)
+    return sub, root
+
+
 def merge(partials: DataFrame, *aggregates: Column, keys: tuple[str, ...] = ()) -> DataFrame:
     """Partial rows (id, ...) aggregated to their roots: (id, *keys, aggregates). Map-side partial aggregation makes this one shuffle."""
     return partials.groupBy(root_of(F.col("id")).alias("id"), *keys).agg(*aggregates)

@@ -351,15 +351,16 @@ def jaccard_split_gsa(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _weighted(spark: SparkSession, d: str) -> PropertyGraph:
-    return _graph(T.copart(spark, d).withColumn("value", F.lit(3.0)))
+    """Edges come once for every order; communities are to take them once."""
+    return _graph(T.copart_repeated(spark, d).withColumn("value", F.lit(3.0)))
 
 
 def community(spark: SparkSession, d: str) -> DataFrame:
-    return _ids(A.communities(_weighted(spark, d), COMMUNITY_STEPS).select("id", "label"), "id")
+    return _ids(A.communities(_weighted(spark, d), COMMUNITY_STEPS, once=True).select("id", "label"), "id")
 
 
 def community_split(spark: SparkSession, d: str) -> DataFrame:
-    return A.split_communities(_weighted(spark, d), COMMUNITY_STEPS, threshold=HUB).select("id", "label")
+    return A.split_communities(_weighted(spark, d), COMMUNITY_STEPS, threshold=HUB, once=True).select("id", "label")
 
 
 _QUERIES = (

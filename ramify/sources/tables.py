@@ -24,6 +24,14 @@ def copart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(_table(spark, sf_dir, "lineitem"))
 
 
+def copart_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As copart, but an edge comes once for every order that its parts share: for operators that take repeated edges once."""
+    lines = _table(spark, sf_dir, "lineitem").where("l_orderkey is not null and l_partkey is not null")
+    orders = lines.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
+    each = orders.select("parts", F.explode("parts").alias("src"))
+    return each.select("src", F.explode(F.filter("parts", lambda p: p > F.col("src"))).alias("dst"))
+
+
 def customer_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and the suppliers of their orders; suppliers' ids begin at SUPPLIER_OFFSET."""
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
