@@ -27,9 +27,9 @@ from ramify.plans.workers import ship
 
 FINE = 192  # blocks in which edges are packed first; a block is as many of them as needed
 BLOCKS = 24  # at least, from so many times LEAST_MESSAGES on
-LEAST_MESSAGES, BLOCK_MESSAGES = 100_000, 4_000_000
-_ROWS = 2_000_000  # packed at once
-_CHUNK = 1 << 20  # messages grouped at once
+LEAST_MESSAGES, BLOCK_MESSAGES = 100_000, 3_000_000
+_ROWS = 1_000_000  # packed at once
+_CHUNK = 1 << 19  # messages grouped at once
 
 _PART = "block int, n long, id binary, near binary, weight binary, m long, alone binary"
 _BLOCK = "block int, n long, size long, id binary, degree binary, near binary, weight binary"
