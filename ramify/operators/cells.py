@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from ramify.operators.graph import endpoints
+from ramify.operators.split import deal
 from ramify.plans.checkpoint import cut, drop
 from ramify.plans.workers import ship
 
@@ -88,9 +89,12 @@ def _release(df: DataFrame) -> None:
 
 
 class _Cell:
-    """The simple graph of one cell: ends as ranks by (degree, id), edges sorted by them. order: the edges' places in the rows as given."""
+    """The simple graph of one cell: ends as ranks by (degree, id), edges sorted by them. order: the edges' places in the rows as given.
 
-    def __init__(self, us: list[np.ndarray], vs: list[np.ndarray]):
+    split (alpha, level, threshold, how often an edge counts): the edges of a vertex that has too many in this cell are dealt to its sub-vertices.
+    """
+
+    def __init__(self, us: list[np.ndarray], vs: list[np.ndarray], split: tuple | None = None):
         ids = np.unique(np.concatenate([np.unique(x) for x in (*us, *vs)]))
         self.n = n = len(ids)
         a = np.concatenate([np.searchsorted(ids, x).astype(np.int32) for x in us])
@@ -106,9 +110,22 @@ class _Cell:
         self.order = np.argsort(key)
         self.key, self.low, self.high = key[self.order], low[self.order], high[self.order]
         self.out = np.searchsorted(self.low, np.arange(n + 1))
+        self.parts = self._dealt(ids, split) if split else None
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self._hash(self.key)] = True
 
+    def _dealt(self, ids: np.ndarray, split: tuple) -> tuple[np.ndarray, ...] | None:
+        """The sub-vertex of each edge's lower end, each sub-vertex's vertex, its first place in held, and held: the edges out of sub-vertices, one after the other.
+
+        None if no vertex has too many edges here."""
+        if not ((np.bincount(self.low, minlength=self.n) + np.bincount(self.high, minlength=self.n)) * split[3] > split[2]).any():
+            return None
+        m, name = len(self.key), ids[self.vertex]
+        # both ends' edges decide what is split; the edges out are those by the lower end
+        sub, root = deal(np.concatenate([self.low, self.high]), np.concatenate([name[self.high], name[self.low]]), *split)
+        held = np.argsort(sub[:m], kind="stable")
+        return sub[:m], root, np.searchsorted(sub[:m][held], np.arange(len(root) + 1)), held
+
     @staticmethod
     def _hash(key: np.ndarray) -> np.ndarray:
         return (key.view(np.uint64) * _ODD) >> np.uint64(64 - _FILTER_BITS)
@@ -118,6 +135,9 @@ class _Cell:
 
         forward: the higher neighbours of b are forwarded to a, whose edges close. Otherwise that or the rest of a's own, whichever are fewer.
         """
+        if self.parts:
+            yield from self._split_triangles()
+            return
         m = len(self.key)
         start, size, base = self.out[self.high], self.out[self.high + 1] - self.out[self.high], self.low
         if not forward:
@@ -141,7 +161,39 @@ class _Cell:
             at = end
 
 
-def _cell(table: pa.Table, what: str, forward: bool) -> tuple[np.ndarray | int, list[int]]:
+    def _split_triangles(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same by sub-vertices: each of b's gathers the higher neighbours on its own edges and is sent each edge a-b that closes them."""
+        _, root, begins, held = self.parts
+        first_sub = np.searchsorted(root, np.arange(self.n + 1))
+        subs = np.diff(first_sub)[self.high]  # of each edge's higher end
+        edge = np.repeat(np.arange(len(self.key)), subs)
+        sub = np.arange(len(edge)) - np.repeat(np.cumsum(subs) - subs, subs) + first_sub[self.high[edge]]
+        size = np.diff(begins)[sub]
+        edge, sub, size = edge[size > 0], sub[size > 0], size[size > 0]
+        total = np.cumsum(size)
+        shift = begins[sub] - (total - size)
+        at = 0
+        while at < len(edge):
+            before = total[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(total, before + _WEDGES, side="right")))
+            place = held[np.arange(before, total[end - 1]) + np.repeat(shift[at:end], size[at:end])]
+            ab = np.repeat(edge[at:end], size[at:end])
+            query = self.low[ab] * self.n + self.high[place]
+            maybe = np.flatnonzero(self.filter[self._hash(query)])
+            query = query[maybe]
+            found = np.minimum(np.searchsorted(self.key, query), len(self.key) - 1)
+            hit = self.key[found] == query
+            yield ab[maybe[hit]], place[maybe[hit]], found[hit]
+            at = end
+
+    def merged(self, counts: np.ndarray) -> int:
+        """Closed wedges by the sub-vertex of a that got them, added at its root and then over the roots."""
+        sub, root = self.parts[:2]
+        by_sub = np.bincount(sub, weights=counts, minlength=len(root))
+        return int(np.bincount(root, weights=by_sub).sum())
+
+
+def _cell(table: pa.Table, what: str, forward: bool, split: tuple | None = None) -> tuple[np.ndarray | int, list[int]]:
     """What a cell finds: the number of triangles, that of paths over multiple edges, or per edge as given its triangles; and the rows' lengths."""
     rows = table.num_rows
     blocks = [tuple(table.column(c)[i].as_py() for c in ("ci", "cj")) for i in range(rows)]
@@ -160,13 +212,15 @@ def _cell(table: pa.Table, what: str, forward: bool) -> tuple[np.ndarray | int,
     per_edge = np.zeros(sum(n), np.int64) if what == "edges" else None
     count, pending, held = 0, [], 0
     if len(keep):
-        cell = _Cell(us, vs)
+        cell = _Cell(us, vs, split)
         del us, vs
         for ab, second, third in cell.triangles(forward):
             if inside is not None:
                 outer = ~(inside[cell.order[ab]] & inside[cell.order[second]] & inside[cell.order[third]])
                 ab, second, third = ab[outer], second[outer], third[outer]
-            if what == "triangles":
+            if what == "triangles" and cell.parts:
+                count += cell.merged(np.bincount(ab, minlength=len(keep))) if len(ab) else 0
+            elif what == "triangles":
                 count += len(ab)
             elif what == "paths":  # forward: a-b, b-c, a-c; the two edges at the greatest id count as often as they are there
                 a, b, c = (cell.vertex[x] for x in (cell.low[ab], cell.high[ab], cell.high[second]))
@@ -184,7 +238,7 @@ def _cell(table: pa.Table, what: str, forward: bool) -> tuple[np.ndarray | int,
     return (per_edge if what == "edges" else count), n
 
 
-def _over_cells(pairs: DataFrame, what: str, schema: str, forward: bool, columns: tuple[str, ...]) -> DataFrame:
+def _over_cells(pairs: DataFrame, what: str, schema: str, forward: bool, columns: tuple[str, ...], split: tuple | None = None) -> DataFrame:
     """Rows of each cell of the packed block pairs, wave by wave; a table."""
     sizes = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(sum(F.length(c) for c in columns)), F.lit(0))).first()
     wanted = min(FINE, sqrt(6 * sizes[0] / CELL_EDGES)) if sizes[0] > CELL_EDGES else 1  # a cell of three blocks has 6 / p**2 of the edges
@@ -192,7 +246,7 @@ def _over_cells(pairs: DataFrame, what: str, schema: str, forward: bool, columns
     waves = max(1, ceil(p * sizes[1] / WAVE_BYTES))
 
     def run(table: pa.Table) -> pa.Table:
-        found, n = _cell(table, what, forward)
+        found, n = _cell(table, what, forward, split)
         if what != "edges":
             return pa.table({"n": pa.array([found], pa.int64())})
         at = np.cumsum([0, *n])
@@ -214,19 +268,19 @@ def _over_cells(pairs: DataFrame, what: str, schema: str, forward: bool, columns
     return out
 
 
-def _total(edges: DataFrame, what: str, forward: bool) -> DataFrame:
+def _total(edges: DataFrame, what: str, forward: bool, split: tuple | None = None) -> DataFrame:
     spark = edges.sparkSession
     ship(spark)
     pairs = packed(_numbered(edges)[0])
     columns = ("u", "v", "there", "back") if what == "paths" else ("u", "v")
-    found = _over_cells(pairs, what, "n long", forward, columns)
+    found = _over_cells(pairs, what, "n long", forward, columns, split)
     drop(pairs)
     return found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("triangles"))
 
 
-def count_triangles(edges: DataFrame, forward: bool = False) -> DataFrame:
-    """One row (triangles): those of the simple graph, 0 if there are none. Ids are of any type."""
-    return _total(edges, "triangles", forward)
+def count_triangles(edges: DataFrame, forward: bool = False, split: tuple | None = None) -> DataFrame:
+    """One row (triangles): those of the simple graph, 0 if there are none. Ids are of any type. split: as for a cell."""
+    return _total(edges, "triangles", forward, split)
 
 
 def count_paths(edges: DataFrame) -> DataFrame:
@@ -303,12 +357,12 @@ def _similar(both_ways: bool):  # noqa: ANN202
     return run
 
 
-def jaccard_over_cells(edges: DataFrame, both_ways: bool = False) -> DataFrame:
-    """(src, dst, jaccard) per edge as given; both_ways: of distinct pairs, once in each direction. Ids are of any type."""
+def jaccard_over_cells(edges: DataFrame, both_ways: bool = False, split: tuple | None = None) -> DataFrame:
+    """(src, dst, jaccard) per edge as given; both_ways: of distinct pairs, once in each direction. Ids are of any type. split: as for a cell."""
     ship(edges.sparkSession)
     numbered, ids = _numbered(edges)
     pairs = packed(numbered)
-    shared = _over_cells(pairs, "edges", _ROW, False, ("u", "v"))
+    shared = _over_cells(pairs, "edges", _ROW, False, ("u", "v"), split)
     of = pairs.select("fi", "fj", "n", "u", "v").mapInArrow(_partial_degrees, "f int, n long, data array<binary>").groupBy("f").applyInArrow(_block_degrees, _ROW)
     own = pairs.select("fi", "fj", F.lit(0).alias("kind"), "n", F.array("u", "v", "there", "back").alias("data"))
     found = own.unionByName(shared).unionByName(of).groupBy("fi", "fj").applyInArrow(_similar(both_ways), "src long, dst long, jaccard double")
