@@ -242,11 +242,11 @@ def triangles_gsa(spark: SparkSession, d: str) -> DataFrame:
 
 
 def triangles_split(spark: SparkSession, d: str) -> DataFrame:
-    return A.split_triangle_count(_graph(T.copart(spark, d)), 2, 4, 2 * HUB)
+    return A.split_triangle_count(_graph(T.copart_repeated(spark, d)), 2, 4, 2 * HUB)
 
 
 def triangles_split_gsa(spark: SparkSession, d: str) -> DataFrame:
-    return A.split_triangle_count(_graph(T.copart(spark, d)), 2, 4, HUB, "directed")
+    return A.split_triangle_count(_graph(T.copart_repeated(spark, d)), 2, 4, HUB, "directed")
 
 
 def jaccard_vertex(spark: SparkSession, d: str) -> DataFrame:
@@ -343,7 +343,7 @@ def jaccard_edge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jaccard_split(spark: SparkSession, d: str) -> DataFrame:
-    return A.split_jaccard_vertices(_graph(T.copart(spark, d)), threshold=HUB)
+    return A.split_jaccard_vertices(_graph(T.copart_repeated(spark, d)), threshold=HUB)
 
 
 def jaccard_split_gsa(spark: SparkSession, d: str) -> DataFrame:
